@@ -1,10 +1,11 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words of a batch go into a trie.  A depth-first walk carries, for each
-prefix, the last token of the prefix's encoding (its *state*): the state of a prefix is
-the longest vocabulary token ending there that forms a valid pair with the state of what
-precedes it.  Encodings of shared prefixes are therefore found once.  The last symbol of
-a word carries the end-of-word mark, so it is a leaf of its own.
+The distinct words of a batch form a trie.  A depth-first walk carries, for each prefix,
+the last token of the prefix's encoding (its *state*): the state of a prefix is the
+longest vocabulary token ending there that forms a valid pair with the state of what
+precedes it.  Encodings of shared prefixes are therefore found once, and only where a
+longer token may rest on them.  The last symbol of a word carries the end-of-word mark,
+so it is a leaf of its own.
 
 Defined results: a null text counts as empty (0 tokens, digests of the empty string);
 special-token strings in a text become their identifiers; rows are independent, so
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from .vocabulary import SPACE, byte_symbols, load
 
 #: Words whose encodings a worker remembers before it starts anew (bounds memory).
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 350_000
 #: Longer words are encoded but not remembered beyond their batch.
 REMEMBERED_LENGTH = 64
 _END = "\x00"
 _MARK = "</w>"
+#: Symbols between the prefixes of a long word whose states are found from left to right.
+_STRIDE = 64
 
 
 class TrieEncoder:
@@ -41,7 +44,13 @@ class TrieEncoder:
         self.ranks = {(inner(a), inner(b)): r for (a, b), r in data["ranks"].items()}
         self.special = data["special"]
         self.bytes = byte_symbols()
-        self.longest = max(len(t) - t.endswith(_END) for t in self.vocab)
+        # lengths (in symbols) of the tokens that end in two given symbols, longest first
+        self.lengths: dict[str, list[int]] = {}
+        for t in self.vocab:
+            n = len(t) - t.endswith(_END)
+            if n > 1:
+                self.lengths.setdefault(t[n - 2 :], []).append(n)
+        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
         self.valid: dict[tuple[str, str], bool] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -68,40 +77,55 @@ class TrieEncoder:
             self.valid[key] = found
         return found
 
-    def _last(self, path: str, states: list[str], end: str) -> str:
-        """Last token of the encoding of ``path + end``; states[k]: of the first k symbols."""
-        n = len(path)
-        for size in range(min(n, self.longest), 0, -1):
-            token = path[n - size :] + end
-            if token in self.vocab and self.fits(states[n - size], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte symbol")
+    def _last(self, path: str, n: int, states: list, end: str) -> str:
+        """Last token of the encoding of ``path[:n] + end``; states[k]: of the first k symbols."""
+        vocab, valid = self.vocab, self.valid
+        for size in self.lengths.get(path[max(0, n - 2) : n] + end, ()):
+            if size <= n and (token := path[n - size : n] + end) in vocab:
+                left = states[n - size]
+                if left is None:
+                    left = states[n - size] = self._last(path, n - size, states, "")
+                found = valid.get((left, token))
+                if found or found is None and self.fits(left, token):
+                    return token
+        return path[n - 1] + end
+
+    def symbols(self, word: str) -> str:
+        if word.isascii() and word.isalnum():
+            return word
+        return "".join(map(self.bytes.__getitem__, word.encode("utf-8")))
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Identifiers of each distinct non-empty word."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in "".join(map(self.bytes.__getitem__, word.encode("utf-8"))):
-                node = node.setdefault(symbol, {})
-            node[_END] = word
+        """Identifiers of each distinct non-empty word.
+
+        The words in sorted order, each with the length of the prefix that it shares with
+        the one before, are the trie in depth-first order: ``states`` holds the last-token
+        states of the path from the root, found when first asked for, and going on to the
+        next word keeps those of the shared prefix.
+        """
         out: dict[str, list[int]] = {}
-        path, states, stack = "", [""], [(0, "", root)]
-        while stack:
-            depth, symbol, node = stack.pop()
-            if depth:
-                path = path[: depth - 1] + symbol
-                del states[depth:]
-                if len(node) > (_END in node):  # some longer word has this prefix
-                    states.append(self._last(path, states, ""))
-            if _END in node:
-                tokens, at = [self._last(path, states, _END)], depth
-                at -= len(tokens[0]) - 1
-                while at:
-                    tokens.append(states[at])
-                    at -= len(states[at])
-                out[node[_END]] = [self.vocab[t] for t in reversed(tokens)]
-            stack += [(depth + 1, s, child) for s, child in node.items() if s != _END]
+        before, states = "", [""]
+        for path, word in sorted([(self.symbols(w), w) for w in words]):
+            n = len(path)
+            shared, most = 0, min(n, len(before))
+            while shared < most and path[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1 :]
+            states += [None] * (n - shared)
+            before = path
+            for k in range(_STRIDE, n, _STRIDE):  # bounds how deep _last calls itself
+                if states[k] is None:
+                    states[k] = self._last(path, k, states, "")
+            token = self._last(path, n, states, _END)
+            ids, at = [self.vocab[token]], n - len(token) + 1
+            while at:
+                token = states[at]
+                if token is None:
+                    token = states[at] = self._last(path, at, states, "")
+                ids.append(self.vocab[token])
+                at -= len(token)
+            ids.reverse()
+            out[word] = ids
         return out
 
 
