@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mixing, rules, token_counts, toxicity
+from . import bpe_codec, exact_dedup, mixing, rules, span_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_span_dedup": op7_span_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
