@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mixing, near_dedup, rules, span_dedup, token_counts, toxicity
+from . import bpe_codec, exact_dedup, media, mixing, near_dedup, rules, span_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_span_dedup": op7_span_dedup,
+    "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
