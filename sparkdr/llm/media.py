@@ -163,6 +163,7 @@ def layout(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     when one query uses both.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     rows = _rows(docs, id_column, text_column)
     id_type = dict(rows.dtypes)["id"]
@@ -189,13 +190,15 @@ def layout(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         squeeze, expand = _compressor()
         for batch in batches:
             digests, chunks = [], []
-            for recipe, payload, lent in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for i in np.flatnonzero(pc.list_value_length(batch.column(4)).fill_null(0).to_numpy(zero_copy_only=False)).tolist():
+                recipe, payload, lent = (batch.column(c)[i].as_py() for c in (1, 2, 4))
                 have = _split(recipe, expand.decompress(payload))
                 digests += lent
                 chunks += [squeeze.compress(have[digest]) for digest in lent]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "chunk"])
 
-    chunks = packed.filter("size(lent) > 0").select("recipe", "packed", "lent").mapInArrow(shared_chunks, "digest binary, chunk binary")
+    # no filter or selection here: it would reach below the shuffle, which could not be shared then
+    chunks = packed.mapInArrow(shared_chunks, "digest binary, chunk binary")
     return packed, chunks, owners.filter(foreign).select("id", "digest")
 
 
