@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, media, mixing, near_dedup, rules, span_dedup, token_counts, toxicity
+from . import bpe_codec, exact_dedup, license_scan, media, mixing, near_dedup, rules, span_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summarize(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_span_dedup": op7_span_dedup,
@@ -66,6 +71,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": license_scan.summary_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
                count(*) OVER (PARTITION BY body) AS group_size,
