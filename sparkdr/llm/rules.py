@@ -76,7 +76,7 @@ def add_statistics(docs: DataFrame, id_column: str, text_column: str, carried: l
     """``(id, carried..., statistics...)`` of each row: one scan, no shuffle."""
     import pyarrow as pa
 
-    kept = docs.select(F.col(id_column), *carried, F.col(text_column).alias("__text"))
+    kept = docs.select(F.col(id_column), *carried, F.col(text_column).alias("__statistics_of"))
     names = [id_column, *carried]
     types = dict(kept.dtypes)
 
@@ -229,3 +229,10 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3, mod
     """``(id, held_out, score, predicted)`` of each row."""
     scored = add_statistics(docs, id_column, text_column).withColumn("score", model.score_column())
     return scored.select(id_column, (~learnable(id_column, modulus, held)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns and no shuffle."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__text"))
+    scored = add_statistics(whole, "__row", "__text").filter(model.score_column() >= threshold)
+    return scored.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
