@@ -1,19 +1,53 @@
-"""Corpus pipeline over ``documents``: filter, deduplicate, mix, encode."""
+"""Corpus pipeline over ``documents``: filter, deduplicate, mix, encode.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows that the one before it kept
+and returns a frame that is written as Parquet and read again for the next stage; all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sparkdr.llm import bpe_codec, exact_dedup, mixing, near_dedup, rules, storage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality rules reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules.keep_quality(docs, rules.fit_quality(docs, labels))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each group of equal texts."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near duplicates (five words, similarity 0.8)."""
+    return near_dedup.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop and repeat documents so that sources meet their target weights."""
+    return mixing.apply_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token identifiers of every document, with the digest of what they decode to."""
+    coded = bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
-from sparkdr.llm import storage
 
-STAGES: list = []
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
 
 #: Learned and probabilistic stages cannot be written as SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in order to ``documents``; each result is written and read again."""
+    """Apply the stages in order to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
