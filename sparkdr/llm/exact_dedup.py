@@ -45,7 +45,7 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     rows = _rows(docs, id_column, text_column)
     repeated = storage.materialize(rows.groupBy("sha").count().filter("count > 1").select("sha"), "repeated-digests")
     dealt = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    content = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(dealt, ["sha", "salt"])
+    content = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(dealt.hint("merge"), ["sha", "salt"])
     salted = content.groupBy("sha", "salt", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     merged = salted.groupBy("sha", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return merged.select("sha", F.octet_length("body").alias("length"), F.xxhash64("body").alias("check"), "keep_id", "group_size")
@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """``(id, keep_id, group_size, kept, text_sha256)`` of every row, dropped ones too."""
     groups = storage.materialize(duplicate_groups(docs, id_column, text_column, salts), "duplicate-groups")
     rows = _rows(docs, id_column, text_column).select("id", "sha", F.octet_length("body").alias("length"), F.xxhash64("body").alias("check"))
-    joined = rows.join(groups, ["sha", "length", "check"], "left")
+    joined = rows.join(groups.hint("merge"), ["sha", "length", "check"], "left")
     single = F.col("group_size").isNull()
     return joined.select(
         F.col("id").alias(id_column),
