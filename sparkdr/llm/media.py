@@ -165,6 +165,7 @@ def layout(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    storage.bound_batches(docs.sparkSession)
     rows = _rows(docs, id_column, text_column)
     id_type = dict(rows.dtypes)["id"]
     owners = chunk_owners(rows)

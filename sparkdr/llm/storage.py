@@ -40,3 +40,11 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bound_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold at most ``rows`` rows: whole texts are large, and workers hold a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
