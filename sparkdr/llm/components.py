@@ -70,7 +70,8 @@ def connected_components(links: DataFrame, most_steps: int = 60) -> DataFrame:
     Nodes that are their component's smallest are left out.  Self links count for nothing.
     """
     spark = links.sparkSession
-    links = _forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v"))
+    # a node's links meet in one partition, so that a group of many links shrinks to its nodes
+    links = _forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").repartition("u"))
     links = storage.materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(most_steps):

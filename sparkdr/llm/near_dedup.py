@@ -111,7 +111,7 @@ def candidate_links(representatives: DataFrame) -> DataFrame:
     keyed = storage.materialize(keyed.select("id", F.xxhash64("x", "y").alias("key")), "keys")
     buckets = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     buckets = storage.materialize(buckets, "buckets")
-    return keyed.join(buckets, "key").filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
+    return keyed.join(buckets, "key").filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))
 
 
 def verified_links(texts: DataFrame, words: int, percent: int, block_texts: int, block_shingles: int) -> DataFrame:
@@ -184,13 +184,14 @@ def verified_links(texts: DataFrame, words: int, percent: int, block_texts: int,
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, tables: int = 16, rows: int = 3, block_texts: int = 1024, block_shingles: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, words: int = 5, percent: int = 80, tables: int = 16, rows: int = 3, block_texts: int = 256, block_shingles: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row.
 
     Two texts are linked when ``100 * |A & B| >= percent * |A | B|`` of their sets of
     ``words``-word shingles; ``component_id`` is the smallest id reachable over links.
     """
+    storage.bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = storage.materialize(signatures(texts, words, tables, rows), "signatures")
     some = signed.filter("n > 0 and id is not null")
