@@ -81,7 +81,7 @@ def mix(
     source_column: str = "source",
     cycle: int = 3,
     cap: int = 3,
-    block_words: int = 64,
+    block_words: int = 4,
     shard_words: int = 32_768,
     max_shards: int = 65_536,
     seed: int = 17,
