@@ -29,8 +29,8 @@ REMEMBERED_WORDS = 350_000
 REMEMBERED_LENGTH = 64
 _END = "\x00"
 _MARK = "</w>"
-#: Symbols between the prefixes of a long word whose states are found from left to right.
-_STRIDE = 64
+#: Words of more symbols have all their prefix states found from left to right.
+_LONG = 128
 
 
 class TrieEncoder:
@@ -113,9 +113,10 @@ class TrieEncoder:
             del states[shared + 1 :]
             states += [None] * (n - shared)
             before = path
-            for k in range(_STRIDE, n, _STRIDE):  # bounds how deep _last calls itself
-                if states[k] is None:
-                    states[k] = self._last(path, k, states, "")
+            if n > _LONG:  # from left to right, so that _last does not call itself deeply
+                for k in range(1, n):
+                    if states[k] is None:
+                        states[k] = self._last(path, k, states, "")
             token = self._last(path, n, states, _END)
             ids, at = [self.vocab[token]], n - len(token) + 1
             while at:
