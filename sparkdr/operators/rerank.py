@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -42,8 +43,6 @@ def rerank(hits: DataFrame, similarity: Column, head: int = 0, method: str = "no
 
 def with_pair_scores(hits: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], query_text: str = "query_text", text: str = "text", lower: bool = False) -> DataFrame:
     """Add ``similarity`` from a pair scorer (a cross-encoder) called on batches of texts."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(scorer(q.tolist(), t.tolist()), dtype="float64")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import URL, mask_urls, original_id, title_opens, with_title
@@ -105,8 +106,6 @@ def tile(
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def ranges(bodies, titles, opens):
-        import pandas as pd
-
         return pd.Series([[{"start": a, "end": b} for a, b in split_text(t, most, stride, len(_TOKEN.findall(h)), policy, bool(o), aligned)] for t, h, o in zip(bodies, titles, opens)])
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length("body").alias("end")))
