@@ -161,3 +161,20 @@ def leaderboard(rows: DataFrame, lower_is_better: dict[str, bool]) -> DataFrame:
         sign = F.when(F.col("metric") == name, F.lit(1.0 if lower else -1.0)).otherwise(sign)
     order = F.struct((sign * F.col("value")).alias("v"), F.col("model"))
     return rows.groupBy("metric").agg(F.min_by("model", order).alias("best_model"), F.min_by("value", order).alias("value"))
+
+
+def timing_comparison(samples: DataFrame, batch_size: int) -> DataFrame:
+    """``(name, system, n, total, mean, median, std, min, max)``: statistics of each timing key and system, per item.
+
+    All but the count and the sum are divided by the batch size.
+    """
+    own = profile(samples, "ms", ("name", "system"))
+    each = [(F.col(c) / batch_size).alias(c) for c in ("mean", "median", "std", "min", "max")]
+    return own.select("name", "system", "n", "total", *each)
+
+
+def describe_table(df: DataFrame) -> DataFrame:
+    """``(column, type, n, nulls, distinct)`` of every column, in one pass."""
+    spark = df.sparkSession
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(df.columns) for x in (F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"z{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))]).first()
+    return spark.createDataFrame([(c, t, row["n"], row[f"z{i}"] or 0, row[f"d{i}"]) for i, (c, t) in enumerate(df.dtypes)], "column string, type string, n long, nulls long, distinct long")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import paths, text as tx, vectors as vx
-from ..operators import biohash, calibration as cal, dedup, fusion, joins, metrics, rerank, retrieval, statistics as st, tiler
+from ..operators import answers, biohash, calibration as cal, dedup, features, fusion, joins, losses, metrics, rerank, retrieval, statistics as st, tiler
 from ..sources import writers
 
 QUERIES: dict = {}
@@ -753,4 +753,76 @@ def event_windows(spark, sf):
     return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query(
+    "text_feature_table",
+    f"WITH w AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term), "
+    "t AS (SELECT count(*) AS n_docs FROM documents), f AS (SELECT term, sum(tf)::BIGINT AS n, count(*) AS df FROM c GROUP BY term) SELECT term, n, df, round(ln((1.0 + n_docs) / (1 + df)) + 1, 9) AS idf FROM f, t WHERE df <= 0.95 * n_docs ORDER BY n DESC, term LIMIT 5000",
+)
+def text_feature_table(spark, sf):
+    out = features.feature_table(table(spark, sf, "documents"), _ascii_tokens(F.col("text")))
+    return out.select("term", "n", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("text_token_difference", f"WITH t AS (SELECT {_TOKENS.format('text')} AS a, {_TOKENS.format('substring(text, 1, 200)')} AS b FROM documents) SELECT count(*) AS n, sum((a <> b)::INT)::BIGINT AS n_different, round(avg(len(a)), 6) AS mean_a, round(avg(len(b)), 6) AS mean_b FROM t")
+def text_token_difference(spark, sf):
+    docs = table(spark, sf, "documents").select(_ascii_tokens(F.col("text")).alias("a"), _ascii_tokens(F.expr("left(text, 200)")).alias("b"))
+    out = features.tokenization_difference(docs, F.col("a"), F.col("b"))
+    return out.select("n", "n_different", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
+
+
+@query("same_text", "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM (SELECT text FROM documents JOIN labels USING (doc_id)) l WHERE trim(regexp_replace(d.text, '[ \t\n\r\f\v]+', ' ', 'g')) = trim(regexp_replace(l.text, '[ \t\n\r\f\v]+', ' ', 'g')))")
+def same_text(spark, sf):
+    docs = table(spark, sf, "documents")
+    return features.same_text(docs, docs.join(table(spark, sf, "labels"), "doc_id", "left_semi")).select("doc_id")
+
+
+@query("zipped_json", "SELECT event_id, position::INT AS position, x AS a, y AS b FROM (SELECT event_id, unnest(range(2)) AS position, unnest([event_type, user_id::VARCHAR]) AS x, unnest([user_id::VARCHAR, event_type]) AS y FROM events)")
+def zipped_json(spark, sf):
+    a = F.to_json(F.array("event_type", F.col("user_id").cast("string")))
+    b = F.to_json(F.array(F.col("user_id").cast("string"), "event_type"))
+    return features.zip_json_arrays(table(spark, sf, "events").select("event_id", a.alias("a"), b.alias("b")), "a", "b")
+
+
+@query("timing_comparison", "SELECT event_type AS name, 's' || user_id % 3 AS system, count(*) AS n, round(sum(value), 4) AS total, round(avg(value) / 8, 6) AS mean, round(quantile_cont(value, 0.5) / 8, 6) AS median, round(stddev_pop(value) / 8, 6) AS std, round(min(value) / 8, 6) AS min, round(max(value) / 8, 6) AS max FROM events GROUP BY 1, 2")
+def timing_comparison(spark, sf):
+    samples = table(spark, sf, "events").select(F.col("event_type").alias("name"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("system"), F.col("value").alias("ms"))
+    out = st.timing_comparison(samples, 8)
+    return out.select("name", "system", "n", F.round("total", 4).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "min", "max")])
+
+
+def _pairs(spark, sf, k) -> DataFrame:
+    rows, queries = _vectors(spark, sf)
+    a, b = _search(spark, sf, k=k), _search(spark, sf, k=0, size=32)
+    both = a.select("qid", "id", F.col("score").alias("full")).join(b.select("qid", "id", F.col("score").alias("short")), ["qid", "id"])
+    both = both.join(rows.select("id", "label"), "id").join(queries.select("qid", "qlabel"), "qid")
+    return both.withColumn("relevant", F.col("label") == F.col("qlabel"))
+
+
+_PAIRS = f"WITH {_TWO.replace('WHERE rank <= 10', 'WHERE rank <= 1000000000')}, x AS (SELECT h.qid, h.id, h.score AS f, p.score AS s, h.label = h.qlabel AS rel, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS n FROM h JOIN p USING (qid, id))"
+
+
+@query(
+    "prefix_losses",
+    f"{_PAIRS}, e AS (SELECT qid, exp(s / 0.05 - max(s / 0.05) OVER (PARTITION BY qid)) AS e, rel FROM x), n AS (SELECT qid, sum(CASE WHEN rel THEN e END) AS p, sum(e) AS a FROM e GROUP BY qid) "
+    "SELECT round((SELECT avg(abs(f - s)) FROM x), 6) AS pairwise, round((SELECT avg(abs(f - s)) FROM x WHERE n <= 10), 6) AS neighbour, round((SELECT avg(-ln(p / a)) FROM n WHERE p > 0), 6) AS info_nce",
+)
+def prefix_losses(spark, sf):
+    pairs = _pairs(spark, sf, 0)
+    a, b, c = losses.pairwise(pairs), losses.neighbour(pairs, 10), losses.info_nce(pairs)
+    one = a.select(F.round("loss", 6).alias("pairwise")).crossJoin(b.select(F.round("loss", 6).alias("neighbour")))  # single rows
+    return one.crossJoin(c.select(F.round("loss", 6).alias("info_nce")))
+
+
+@query("answer_recall")
+def answer_recall(spark, sf):
+    """ROUGE recall of each question's hits, by depth."""
+    hits = _lexical(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return answers.rouge_at_k(hits, table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"))
+
+
+@query("table_description")
+def table_description(spark, sf):
+    return st.describe_table(table(spark, sf, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "Window"]
