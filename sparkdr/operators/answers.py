@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.stem import rouge_l, rouge_n, rouge_words
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge1_recall(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([rouge_n(rouge_words(a), rouge_words(b))[1] for a, b in zip(reference, candidate)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l_recall(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(rouge_words(a), rouge_words(b))[1] for a, b in zip(reference, candidate)], dtype="float64")
 
