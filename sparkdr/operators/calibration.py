@@ -168,3 +168,26 @@ def choose_calibrator(df: DataFrame, key: str = "id", folds: int = 10, seed: int
             sums[name].append(0.0 if value is None else value)
     means = {name: sum(v) / len(v) for name, v in sums.items() if v}
     return min(means, key=lambda n: (means[n], n)), means
+
+
+def padded(df: DataFrame) -> DataFrame:
+    """The rows and one certain hit ``(1, 1)``, so that a calibrator sees the upper end."""
+    return df.select("p", "y").unionByName(df.sparkSession.createDataFrame([(1.0, 1)], "p double, y int"))
+
+
+def calibrated_report(dev: DataFrame, test: DataFrame, bins: int = 15) -> DataFrame:
+    """``(calibrator, ece, mce, brier)`` on test rows of calibrators fitted on development rows."""
+    train = padded(dev)
+    temperature, platt = fit_temperature(train), fit_platt(train)
+    forms = {
+        "none": test.select("p", "y"),
+        "temperature": test.select(apply_temperature(F.col("p"), temperature).alias("p"), "y"),
+        "platt": test.select(apply_platt(F.col("p"), *platt).alias("p"), "y"),
+        "isotonic": fit_isotonic(train).transform(test).select(F.col("calibrated").alias("p"), "y"),
+    }
+    out = None
+    for name, rows in forms.items():
+        errors = calibration_errors(bin_table(rows, bins, right_closed=True)).crossJoin(brier(rows).select("brier"))  # single rows
+        one = errors.select(F.lit(name).alias("calibrator"), "ece", "mce", "brier")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -193,3 +193,9 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int, neurons: int, ex
 def agree_on(rows: DataFrame, vector: str, other: str) -> DataFrame:
     """Agreement of two vector columns of each row, and which row agrees least."""
     return rows.withColumn("agreement", vectors.agreement(F.col(vector), F.col(other)))
+
+
+def mine_neighbours(rows: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", vector: str = "vector") -> DataFrame:
+    """The ``k`` nearest other rows of every row, in blocks of queries against all rows."""
+    queries = rows.select(F.col(id_column).alias("qid"), vector)
+    return dense_top_k(rows, queries, k, metric, id_column=id_column, vector=vector, exclude_self=True)

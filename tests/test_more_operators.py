@@ -3,7 +3,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkdr.operators import answers, features, losses, statistics as st
+from sparkdr.operators import answers, calibration, features, joins, losses, retrieval, statistics as st
+from sparkdr.plans import cache
 from sparkdr.sources import readers, writers
 
 
@@ -60,3 +61,33 @@ def test_table_description_and_export(spark):
     assert first.text == "t" and first.metadata == '{"extra":"m"}'
     last = readers.last_input_text(spark.createDataFrame([([{"text": "a"}, {"text": "b"}],)], "input array<struct<text:string>>"))
     assert last.first().text == "b"
+
+
+def test_lookup_and_paths(spark):
+    docs = spark.createDataFrame([("a.txt", None, "old"), ("b", None, "kept")], "doc_id string, url string, title string")
+    lookup = spark.createDataFrame([("a.txt", "u", "new")], "doc_id string, url string, title string")
+    assert sorted(map(tuple, joins.attach_lookup(docs, lookup).collect())) == [("a", "u", "new"), ("b", None, "kept")]
+    got = joins.path_parts(spark.createDataFrame([("/erp-cloud/x/y.txt",)], "path string")).first()
+    assert (got["product"], got["coarse_product"], got["file"]) == ("erp-cloud", "erp", "y")
+
+
+def test_neighbours_and_cache(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, vector array<double>")
+    assert retrieval.mine_neighbours(rows, 2).count() == 12
+    calls = []
+
+    def build():
+        calls.append(1)
+        return rows
+
+    for limit in (1, 1, 2):
+        assert cache.cached(spark, f"file://{tmp_path}", {"limit": limit}, build).count() == 6
+    assert len(calls) == 2
+
+
+def test_calibrated_report(spark):
+    rng = np.random.default_rng(4)
+    z = rng.standard_normal(300) * 2
+    rows = spark.createDataFrame([(float(1 / (1 + np.exp(-2 * v))), int(rng.random() < 1 / (1 + np.exp(-v)))) for v in z], "p double, y int")
+    got = {r.calibrator: r for r in calibration.calibrated_report(rows, rows).collect()}
+    assert set(got) == {"none", "temperature", "platt", "isotonic"} and got["isotonic"].ece < got["none"].ece
