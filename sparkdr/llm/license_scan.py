@@ -72,13 +72,17 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, id_column
     table = spark.createDataFrame([(n, len(s), b) for n, s in sets for b in sorted(s)], "license string, size int, bigram string")
     low = min(math.ceil(len(s) * threshold / (2 - threshold) - 1e-9) for _, s in sets)
     high = max(math.floor(len(s) * (2 - threshold) / threshold + 1e-9) for _, s in sets)
-    holds = F.col("unit").rlike(r"\b(?:" + "|".join(anchors(templates, threshold)) + r")\b")
-
-    texts = docs.select(F.col(id_column).alias("id"), normalized(F.col(text_column)).alias("unit")).filter(holds)
-    lines = texts.select("id", F.posexplode(F.split("unit", "\n")).alias("position", "unit")).filter(holds)
-    whole = texts.filter(F.instr("unit", "\n") > 0).select("id", F.lit(-1).alias("position"), F.translate("unit", "\n", " ").alias("unit"))
+    words = "|".join(anchors(templates, threshold))
+
+    # the raw text is searched once, A-Z and a-z alike; only texts with an anchor are normalised
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("raw")).filter(F.col("raw").rlike(rf"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"))
+    body = texts.select("id", normalized(F.col("raw")).alias("body"))
+    lines = F.transform(F.split("body", "\n"), lambda line, at: F.struct(at.alias("position"), line.alias("unit")))
+    whole = F.when(F.instr("body", "\n") > 0, F.array(F.struct(F.lit(-1).alias("position"), F.translate("body", "\n", " ").alias("unit"))))
+    units = body.select("id", F.explode(F.concat(lines, F.coalesce(whole, F.array().cast("array<struct<position:int,unit:string>>")))).alias("u"))
+    units = units.select("id", "u.position", "u.unit").filter(F.col("unit").rlike(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])"))
     # a unit of more distinct bigrams than any match may have has at least as many words
-    units = lines.unionByName(whole).select("id", "position", F.split(F.trim(F.regexp_replace("unit", " +", " ")), " ").alias("words"))
+    units = units.select("id", "position", F.split(F.trim(F.regexp_replace("unit", " +", " ")), " ").alias("words"))
     units = units.filter(F.size("words") > low)
     pairs = F.zip_with(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"), lambda a, b: F.concat_ws(" ", a, b))
     units = units.select("id", "position", F.array_distinct(pairs).alias("have")).withColumn("n", F.size("have")).filter(F.col("n").between(low, high))
