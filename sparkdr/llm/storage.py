@@ -42,6 +42,15 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Most keys (of about 100 bytes) that are broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """Keys to join to whole rows: counted first, and broadcast only up to ``BROADCAST_KEYS``; else both sides are shuffled."""
+    return keys.hint("broadcast" if keys.count() <= BROADCAST_KEYS else "merge")
+
+
 def bound_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let Arrow batches hold at most ``rows`` rows: whole texts are large, and workers hold a batch at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
