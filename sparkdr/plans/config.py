@@ -49,6 +49,8 @@ class Retrieval:
     similarity: float = 0.9
     filters: list[dict] = field(default_factory=list)
     path: str | None = None
+    query_prefix: str = ""
+    document_prefix: str = ""
 
 
 @dataclass

@@ -90,8 +90,12 @@ class Engine:
 
     # searching
 
-    def _encode(self, texts: DataFrame) -> DataFrame:
-        return (self.encoder or hashed_encoder(self.config.retrieval.dimensions))(texts)
+    def _encode(self, texts: DataFrame, question: bool = False) -> DataFrame:
+        r = self.config.retrieval
+        prefix = r.query_prefix if question else r.document_prefix
+        if prefix:
+            texts = texts.withColumn("text", F.concat(F.lit(prefix), "text"))
+        return (self.encoder or hashed_encoder(r.dimensions))(texts)
 
     def _one(self, engine: str, questions: DataFrame, k: int) -> DataFrame:
         r, rows = self.config.retrieval, self.passages
@@ -99,7 +103,7 @@ class Engine:
             return retrieval.bm25_top_k(rows, questions, lambda c: analyze(c, "text_stop"), k, r.k1, r.b, r.floor_idf)
         if engine == "dense":
             own = rows if "vector" in rows.columns else self._encode(rows.select("id", "text", *[f["document"] for f in r.filters]))
-            asked = questions if "vector" in questions.columns else self._encode(questions.select("qid", "text", *[f["query"] for f in r.filters]))
+            asked = questions if "vector" in questions.columns else self._encode(questions.select("qid", "text", *[f["query"] for f in r.filters]), question=True)
             must = next(((f["query"], f["document"]) for f in r.filters if f.get("type", "must") == "must"), None)
             return retrieval.dense_top_k(own, asked, k, r.metric, match=must)
         if engine == "sparse":
@@ -138,7 +142,7 @@ class Engine:
             from ..functions.vectors import cosine
 
             own = rerank.with_encoded(hits, self.passages.select("id", "text"), lambda p: self._encode(p.select("id", "text")).select("id", F.col("vector").alias("_v")))
-            asked = self._encode(questions.select("qid", "text")).select("qid", F.col("vector").alias("_q"))
+            asked = self._encode(questions.select("qid", "text"), question=True).select("qid", F.col("vector").alias("_q"))
             scored = own.join(asked, "qid").withColumn("_sim", F.coalesce(cosine(F.col("_q"), F.col("_v")), F.lit(0.0)))
         out = rerank.rerank(scored, F.col("_sim"), c.head, c.method, c.weight)
         return out.select("qid", "id", "doc_id", F.coalesce("combined", "score").alias("score"), F.col("new_rank").alias("rank"), "title", "text")

@@ -38,6 +38,23 @@ def test_engine_end_to_end(spark, preset):
     assert got[3].match == 1.0 and got[1].mrr >= 0.6
 
 
+def test_prefixes_and_filters(spark):
+    seen = []
+
+    def encode(texts):
+        seen.append(sorted(r.text[:2] for r in texts.collect())[0])
+        from sparkdr.plans.search import hashed_encoder
+
+        return hashed_encoder(32)(texts)
+
+    engine = Engine.from_preset(spark, "dense", retrieval={"query_prefix": "q:", "document_prefix": "d:", "filters": [{"query": "lang", "document": "language"}]})
+    engine.encoder = encode
+    docs = [p | {"language": "en" if i % 2 else "de"} for i, p in enumerate(PASSAGES)]
+    engine.ingest(engine.read_data(docs, keep=("language",)))
+    questions = engine.read_questions(spark.createDataFrame(QUESTIONS, "id string, text string, relevant array<string>")).withColumn("lang", F.lit("en"))
+    assert {r.doc_id for r in engine.search(questions).collect()} == {"p2", "p4"} and set(seen) == {"q:", "d:"}
+
+
 def test_duplicate_removal(spark):
     engine = Engine.from_preset(spark, "bm25", retrieval={"duplicate_removal": "rouge", "similarity": 0.9})
     engine.ingest(engine.read_data([*PASSAGES, {"id": "copy", "title": "Bees", "text": PASSAGES[1]["text"]}]))
