@@ -161,13 +161,13 @@ def fit_toxicity(
     model = ToxicModel({r["token"]: float(r["odds"]) for r in table.select("token", "odds").collect()}, drift=drift)
 
     rows = _segment_statistics(sample, model).toPandas()
-    rows = rows.sort_values(["id", "label"], kind="stable")
+    rows = rows.sort_values(["id", "label", "best"], kind="stable")
     clean = rows[(rows["label"] == 0) & (rows["n"] > 0)]
     # lambda: the positive root of the mean of exp(lambda s) over clean tokens, from a histogram of positive scores
     positives: dict[float, float] = {}
-    for packed in clean["positives"]:
-        for v in packed:
-            positives[v] = positives.get(v, 0) + 1
+    for held in clean["positives"]:
+        for x in held:
+            positives[x["score"]] = positives.get(x["score"], 0) + x["n"]
     n = float(clean["n"].sum()) or 1.0
     values, weights = np.array(list(positives) or [1.0]), np.array(list(positives.values()) or [0.5]) / n
     rest, mean_rest = 1 - weights.sum(), -model.drift
@@ -183,7 +183,7 @@ def fit_toxicity(
     if len(best):
         model.log_k = float((model.decay * best["best"] - 0.5772 - np.log(best["n"])).mean())
     # evidence of each sample row, and the curve by Newton steps
-    found = _segment_statistics(sample, model).toPandas()
+    found = _segment_statistics(sample, model).toPandas().sort_values(["id", "label", "evidence"], kind="stable")
     x, y = np.log1p(found["evidence"].to_numpy(float)), found["label"].to_numpy(float)
     model.slope, model.offset = _logistic(x, y)
     model.share = float(y.mean())
@@ -204,7 +204,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def _segment_statistics(sample: DataFrame, model: ToxicModel) -> DataFrame:
-    """``(id, label, n, best, evidence, positives)`` of each sample row."""
+    """``(id, label, n, best, evidence, positives)`` of each sample row; positives: its positive scores and their counts."""
     import pyarrow as pa
 
     def run(batches):
@@ -214,14 +214,15 @@ def _segment_statistics(sample: DataFrame, model: ToxicModel) -> DataFrame:
                 words = tokens_of(text)
                 scores = model.scores(words) if words else np.zeros(0)
                 best = max((s[2] for s in maximal_segments(scores)), default=0.0)
-                out.append((len(words), best, model.evidence(text), np.round(scores[scores > 0], 2)[:1000].tolist()))
+                values, counts = np.unique(np.round(scores[scores > 0], 2), return_counts=True)
+                out.append((len(words), best, model.evidence(text), [{"score": float(v), "n": int(c)} for v, c in zip(values, counts)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(2), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.list_(pa.struct([("score", pa.float64()), ("n", pa.int64())])))],
                 ["id", "label", "n", "best", "evidence", "positives"],
             )
 
     kept = sample.select(F.col("__id").alias("id"), "text", "label")
-    return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, label int, n long, best double, evidence double, positives array<double>")
+    return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, label int, n long, best double, evidence double, positives array<struct<score:double,n:long>>")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, modulus: int = 4, held: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
