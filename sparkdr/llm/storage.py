@@ -43,7 +43,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Most keys (of about 100 bytes) that are broadcast.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 200_000
 
 
 def sized(keys: DataFrame) -> DataFrame:
