@@ -1,8 +1,8 @@
 """Top-k search over vectors, sparse terms, BM25 and hash codes.
 
 Every search returns ``(qid, id, score, rank)`` with ranks from 1; scores fall, ties go by
-id.  Exact search multiplies blocks of rows with the queries and keeps each block's best,
-so only ``k`` rows a query and block are shuffled.  Queries travel to the rows only when
+id.  Exact search multiplies blocks of rows with the queries and keeps each partition's
+best, so only ``k`` rows a query and partition are shuffled.  Queries travel to the rows only when
 their size is checked; a larger query set is dealt into blocks of its own.
 """
 
@@ -73,35 +73,38 @@ def dense_top_k(
         def run(batches, shared=shared):
             q, names, fields = shared.value
             own = np.array(names, object) if exclude_self else None
+            best: list[list] = [[] for _ in names]  # (-score, id) of the partition's best rows, sorted
+            least = np.full(len(names), -np.inf)
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 ids = batch.column(0).to_pylist()
-                v = np.array(batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1) if ids else np.zeros((0, q.shape[1]))
-                if unit and len(v):
+                v = np.asarray(batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
+                if unit:
                     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 score = q @ v.T
                 if distance:
                     score = 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * score, 0)))
                 # rounded, so that ties do not depend on the order of additions
                 score = np.round(score, DIGITS)
-                if own is not None and ids:
+                if own is not None:
                     score[own[:, None] == np.array(ids, object)[None]] = -np.inf
-                if fields is not None and ids:
+                if fields is not None:
                     score[np.array(fields, object)[:, None] != np.array(batch.column(1).to_pylist(), object)[None]] = -np.inf
-                order = np.array(ids, object)
-                rank_of = np.argsort(np.argsort(order, kind="stable"), kind="stable") if ids else np.zeros(0, int)
-                out_q, out_i, out_s = [], [], []
-                for i in range(len(names)):
+                if k <= 0:
+                    i, j = np.nonzero(np.isfinite(score))
+                    yield pa.RecordBatch.from_pydict({"qid": [names[x] for x in i], "id": [ids[x] for x in j], "score": score[i, j]}, schema=schema)
+                    continue
+                top = score.max(axis=1)
+                for i in np.flatnonzero((top >= least) & np.isfinite(top)):
                     s = score[i]
-                    if 0 < k < len(s):
-                        likely = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                        best = likely[np.lexsort((rank_of[likely], -s[likely]))][:k]
-                    else:
-                        best = np.arange(len(s))
-                    best = best[np.isfinite(s[best])]
-                    out_q += [names[i]] * len(best)
-                    out_i += [ids[j] for j in best]
-                    out_s += s[best].tolist()
-                yield pa.RecordBatch.from_pydict({"qid": out_q, "id": out_i, "score": out_s}, schema=schema)
+                    bar = least[i] if len(s) <= k else max(least[i], np.partition(s, len(s) - k)[len(s) - k])
+                    new = [(-s[j], ids[j]) for j in np.flatnonzero((s >= bar) & np.isfinite(s))]
+                    best[i] = sorted(best[i] + new)[:k]
+                    if len(best[i]) == k:
+                        least[i] = -best[i][-1][0]
+            flat = [(names[i], x, -s) for i, found in enumerate(best) for s, x in found]
+            yield pa.RecordBatch.from_pydict({"qid": [f[0] for f in flat], "id": [f[1] for f in flat], "score": [float(f[2]) for f in flat]}, schema=schema)
 
         schema = pa.schema([("qid", _arrow(q_type)), ("id", _arrow(id_type)), ("score", pa.float64())])
         found = data.mapInArrow(run, f"qid {q_type}, id {id_type}, score double")
