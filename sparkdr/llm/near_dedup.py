@@ -184,7 +184,7 @@ def verified_links(texts: DataFrame, words: int, percent: int, block_texts: int,
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, tables: int = 16, rows: int = 3, block_texts: int = 256, block_shingles: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, words: int = 5, percent: int = 80, tables: int = 16, rows: int = 3, block_texts: int = 128, block_shingles: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row.
 
@@ -201,10 +201,13 @@ def near_duplicates(
     clusters = storage.materialize(components.connected_components(candidate_links(representatives)), "clusters")
     members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct())
     members = members.join(some.select("id", "n").groupBy("id").agg(F.max("n").alias("n")), "id")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum("n") / block_shingles))
+    # blocks grow with their cluster (up to 32 times), so that its texts are not copied to ever more places
+    n = F.count(F.lit(1))
+    block = F.greatest(F.lit(block_texts), F.least(F.lit(32 * block_texts), F.floor(n / 32)))
+    blocks = F.greatest(F.ceil(n / block), F.ceil(F.sum("n") / block_shingles))
     sizes = members.groupBy("cluster").agg(blocks.cast("long").alias("blocks"))
     members = storage.materialize(members.join(sizes, "cluster").select("id", "cluster", "blocks"), "members")
-    held = texts.join(members, "id").dropDuplicates(["id"])
+    held = texts.join(storage.sized(members), "id").dropDuplicates(["id"])
     links = verified_links(held, words, percent, block_texts, block_shingles)
     linked = storage.materialize(components.connected_components(links), "components")
     classes = classes.join(linked.withColumnRenamed("node", "least"), "least", "left")
@@ -216,5 +219,6 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
-    kept = near_duplicates(docs, id_column=id_column, text_column=text_column, **options).filter("kept").select(F.col(id_column).alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_column).eqNullSafe(F.col("__kept_id")), "left_semi")
+    marked = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
+    dropped = storage.materialize(marked.filter("not kept").select(F.col(id_column).alias("__id")).distinct(), "dropped")
+    return docs.join(storage.sized(dropped), F.col(id_column) == F.col("__id"), "left_anti")
