@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdr.llm import components, exact_dedup, media, mixing, near_dedup, span_dedup
+from sparkdr.llm import components, exact_dedup, media, mixing, near_dedup, span_dedup, storage
 
 SCHEMA = "doc_id long, text string, source string, component string, n int"  # clashing names
 
@@ -50,8 +50,9 @@ def words_of(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(LOWER))
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_exact_dedup_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,broadcast", [(0, 500_000), (1, 0)])
+def test_exact_dedup_against_brute_force(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", broadcast)
     rows = corpus(seed)
     groups = collections.defaultdict(list)
     for i, t, _ in rows:
@@ -99,7 +100,8 @@ def brute_components(rows, k, percent):
 
 
 @pytest.mark.parametrize("seed,words,blocks", [(0, 4, 256), (1, 5, 256), (2, 4, 3)])
-def test_near_duplicates_against_brute_force(spark, seed, words, blocks):
+def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, words, blocks):
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", 500_000 if seed else 0)
     rows = corpus(seed)
     want = brute_components(rows, words, 80)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(frame(spark, rows), words=words, block_texts=blocks).collect()}
@@ -133,7 +135,7 @@ def test_connected_components(spark, links):
     assert got == {x: root(x) for x in parent if root(x) != x}
 
 
-def brute_spans(rows, least_sentences, least_words):
+def brute_spans(rows, least_sentences, least_words, long_words):
     texts = {}
     for i, t, _ in rows:
         raw, out, current = (t or "").encode(), [], []
@@ -150,7 +152,7 @@ def brute_spans(rows, least_sentences, least_words):
     for i in sorted(texts):
         own, s = set(), texts[i]
         for a in range(len(s)):
-            end = next((e for e in range(a + least_sentences, len(s) + 1) if sum(map(len, s[a:e])) >= least_words), None)
+            end = a + 1 if len(s[a]) >= long_words else next((e for e in range(a + least_sentences, len(s) + 1) if sum(map(len, s[a:e])) >= least_words), None)
             if end is not None:
                 key = tuple(w for x in s[a:end] for w in x)
                 if first.setdefault(key, (i, a)) != (i, a):
@@ -166,8 +168,8 @@ def test_span_dedup_against_brute_force(spark, seed):
     rows = corpus(seed)
     rows += [(1000 + i, prose(rng, 30) + ".\n" + passage + "\n" + prose(rng, 20), "p") for i in range(4)]
     rows.append((2000, "Same here now. " * 12, "r"))
-    texts, gone = brute_spans(rows, 2, 8)
-    out = span_dedup.remove_repeated_spans(frame(spark, rows), span=2, least_words=8).collect()
+    texts, gone = brute_spans(rows, 2, 8, 15)
+    out = span_dedup.remove_repeated_spans(frame(spark, rows), span=2, least_words=8, long_words=15).collect()
     assert len(out) == len(rows)
     for r in out:
         assert (r.n_sentences, r.n_removed) == (len(texts[r.doc_id]), len(gone[r.doc_id])), r.doc_id
