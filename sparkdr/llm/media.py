@@ -137,7 +137,7 @@ def chunk_owners(rows: DataFrame) -> DataFrame:
 
     held = storage.materialize(rows.filter("id is not null").mapInArrow(run, f"id {id_type}, digest binary"), "digests")
     shared = held.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("digest", "owner")
-    return storage.materialize(held.join(storage.materialize(shared, "shared-digests"), "digest").distinct(), "references")
+    return storage.materialize(held.join(storage.sized(storage.materialize(shared, "shared-digests")), "digest"), "references")
 
 
 def _split(recipe: bytes, payload: bytes) -> dict[bytes, bytes]:
@@ -170,7 +170,7 @@ def layout(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     id_type = dict(rows.dtypes)["id"]
     owners = chunk_owners(rows)
     foreign, lent = F.col("id") != F.col("owner"), F.col("id") == F.col("owner")
-    needs = owners.groupBy("id").agg(F.collect_list(F.when(foreign, F.col("digest"))).alias("foreign"), F.collect_list(F.when(lent, F.col("digest"))).alias("lent"))
+    needs = owners.groupBy("id").agg(F.collect_set(F.when(foreign, F.col("digest"))).alias("foreign"), F.collect_set(F.when(lent, F.col("digest"))).alias("lent"))
 
     def pack(batches):
         squeeze, _ = _compressor()
@@ -200,7 +200,7 @@ def layout(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     # no filter or selection here: it would reach below the shuffle, which could not be shared then
     chunks = packed.mapInArrow(shared_chunks, "digest binary, chunk binary")
-    return packed, chunks, owners.filter(foreign).select("id", "digest")
+    return packed, chunks, owners.filter(foreign).select("id", "digest").distinct()
 
 
 def _fetched(chunks: DataFrame, references: DataFrame) -> DataFrame:
