@@ -3,7 +3,8 @@
 Texts are split into sentences (ended by ``.``, ``!`` or ``?`` before white space, or by
 a line break).  At every sentence begins a run of consecutive sentences: the shortest one
 of at least ``span`` sentences and ``least_words`` words, so that the runs of a repeated
-passage are alike wherever it stands.  Each run is hashed to 128 bits over its words (A-Z
+passage are alike wherever it stands; a sentence of ``long_words`` words is a run by
+itself.  Each run is hashed to 128 bits over its words (A-Z
 lower-cased, white space ignored).  The hashes are joined globally: the first occurrence of a span is the one in
 the text of the smallest id, and there the earliest.  A sentence that any other
 occurrence covers is removed.
@@ -14,7 +15,8 @@ gathers the texts that share a span: counts and smallest ids combine before the
 and the decision goes back by an equi-join whose hot keys Spark splits.
 
 Defined results: a null or empty text has no sentences and is returned as an empty text;
-a text of fewer sentences than ``span`` or fewer words than ``least_words`` has no span; rows that repeat an id count as one text, so neither loses what both hold; a null
+a text of fewer sentences than ``span`` or fewer words than ``least_words`` has no span
+(but for long sentences); rows that repeat an id count as one text, so neither loses what both hold; a null
 id is later than any other; an empty table gives an empty table; extra columns stay out.
 """
 
@@ -68,7 +70,7 @@ def _span_hashes(words: np.ndarray, first: np.ndarray, stop: np.ndarray, base: i
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def text_spans(data: np.ndarray, offsets: np.ndarray, span: int, least_words: int):
+def text_spans(data: np.ndarray, offsets: np.ndarray, span: int, least_words: int, long_words: int):
     """Spans of each text of a batch.
 
     Returns per text the number of its sentences and of its spans; per span its two
@@ -88,6 +90,7 @@ def text_spans(data: np.ndarray, offsets: np.ndarray, span: int, least_words: in
     m = len(last_word)
     a = np.arange(m)
     z = np.maximum(np.searchsorted(last_word + 1, first_word + least_words), a + span - 1)
+    z = np.where(last_word - first_word + 1 >= long_words, a, z)
     fits = z < m
     fits[fits] = text_of[a[fits]] == text_of[z[fits]]
     a, z = a[fits], z[fits]
@@ -100,7 +103,7 @@ def text_spans(data: np.ndarray, offsets: np.ndarray, span: int, least_words: in
     return per_text, spans, keys, np.array([a, z]) - begin[text_of[a]], bounds, words_in
 
 
-def _emit_spans(docs: DataFrame, span: int, least_words: int) -> DataFrame:
+def _emit_spans(docs: DataFrame, span: int, least_words: int, long_words: int) -> DataFrame:
     """``(h1, h2, id)``: each distinct span of each text."""
     import pyarrow as pa
 
@@ -109,7 +112,7 @@ def _emit_spans(docs: DataFrame, span: int, least_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = hashing.utf8_batch(batch.column(1))
-            _, spans, keys, _, _, _ = text_spans(data, offsets, span, least_words)
+            _, spans, keys, _, _, _ = text_spans(data, offsets, span, least_words, long_words)
             owner = np.repeat(np.arange(len(spans)), spans)
             order = np.lexsort((keys[1], keys[0], owner))
             k, o = keys[:, order], owner[order]
@@ -121,16 +124,16 @@ def _emit_spans(docs: DataFrame, span: int, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"h1 long, h2 long, id {id_type}")
 
 
-def find_repeats(docs: DataFrame, span: int, least_words: int) -> DataFrame:
+def find_repeats(docs: DataFrame, span: int, least_words: int, long_words: int) -> DataFrame:
     """``(id, later array<h1>)``: repeated spans of the text of ``id`` that another text holds first."""
-    spans = _emit_spans(docs, span, least_words)
+    spans = _emit_spans(docs, span, least_words, long_words)
     repeated = spans.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     repeated = storage.materialize(repeated, "repeated-spans")
     later = spans.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first_id")))
     return later.groupBy("id").agg(F.collect_list("h1").alias("later"))
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 2, least_words: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 2, least_words: int = 20, long_words: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_sentences, n_removed, n_words, n_words_removed, text)`` of every row.
 
     ``text`` is the whole text without the removed sentences (and the white space before them).
@@ -140,12 +143,12 @@ def remove_repeated_spans(docs: DataFrame, span: int = 2, least_words: int = 20,
     storage.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    marked = rows.join(find_repeats(rows, span, least_words), "id", "left").select("id", "text", "later")
+    marked = rows.join(find_repeats(rows, span, least_words, long_words), "id", "left").select("id", "text", "later")
 
     def run(batches):
         for batch in batches:
             data, offsets = hashing.utf8_batch(batch.column(1))
-            per_text, spans, keys, ranges, bounds, words_in = text_spans(data, offsets, span, least_words)
+            per_text, spans, keys, ranges, bounds, words_in = text_spans(data, offsets, span, least_words, long_words)
             later = batch.column(2).to_pylist()
             s = k = 0
             out = []
