@@ -159,16 +159,19 @@ def bm25_top_k(texts: DataFrame, questions: DataFrame, words, k: int, k1: float
     terms = texts.select(F.col(item).alias("id"), words(F.col(text)).alias("words"))
     lengths = terms.select("id", F.size("words").alias("len"))
     asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    counts = term_counts(terms, F.col("words"))
-    if floor_idf:
+    wanted = asked.select("term").distinct()
+    long = terms.select("id", F.explode("words").alias("term"))
+    count = lambda rows: rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if floor_idf:  # the mean over all terms asks for all of them
+        counts = count(long)
         df, totals = bm25_statistics(counts, lengths)
         idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        df = df.crossJoin(F.broadcast(totals)).withColumn("raw", idf)
+        df = df.crossJoin(F.broadcast(totals)).withColumn("raw", idf)  # one row
         mean = df.agg(F.avg("raw").alias("mean_idf"))
         df = df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))
-        counts = counts.join(asked.select("term").distinct(), "term", "left_semi")
-    else:
-        counts = counts.join(asked.select("term").distinct(), "term", "left_semi")
+        counts = counts.join(wanted, "term", "left_semi")
+    else:  # other terms go before anything is shuffled, where the questions' terms fit a broadcast
+        counts = count(long.join(wanted, "term", "left_semi"))
         df, totals = bm25_statistics(counts, lengths)
         df = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

@@ -451,7 +451,21 @@ def text_identifiers(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.identifier(F.col("url")).alias("name"))
 
 
-@query("text_detokenized")
+def _sql_detokenized(text: str) -> str:
+    steps = (
+        (" ([.,:;!?)])", r"\1"), (r"\( ", "("), (" - ", "-"), (" ('s|n't)", r"\1"), (" ' ", "' "), ("`` (.*?) ''", r'"\1"'),
+        (r"([0-9]+)\s+:\s+([0-9]+)\s+:\s+([0-9]+)", r"\1:\2:\3"), (" +", " "),
+    )
+    for pattern, new in steps:
+        pattern, new = pattern.replace("'", "''"), new.replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), chr(10))"
+
+
+_SPACED = r"regexp_replace(text, '([.,;])', ' \1', 'g')"
+
+
+@query("text_detokenized", f"SELECT doc_id, md5({_sql_detokenized(_SPACED)}) AS digest FROM documents")
 def text_detokenized(spark, sf):
     spaced = F.regexp_replace("text", "([.,;])", " $1")
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.detokenize(spaced)).alias("digest"))
@@ -740,9 +754,10 @@ def similar_hits_dropped(spark, sf):
     return dedup.drop_similar(hits, 0.7).select("qid", "id", "rank")
 
 
-@query("trec_lines")
+@query("trec_lines", f"WITH {_sql_search('h')} SELECT qid, id AS doc_id, round(score, 6) AS score, qid || chr(9) || '0' || chr(9) || id AS head FROM h")
 def trec_lines(spark, sf):
-    return writers.trec_run(_search(spark, sf).withColumnRenamed("id", "doc_id"))
+    lines = writers.trec_run(_search(spark, sf).withColumnRenamed("id", "doc_id"))
+    return lines.select("qid", "doc_id", F.round("score", 6).alias("score"), F.regexp_extract("value", r"^(.*)\t[^\t]*$", 1).alias("head"))
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
