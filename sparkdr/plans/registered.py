@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import paths, text as tx, vectors as vx
 from ..operators import answers, biohash, calibration as cal, dedup, features, fusion, joins, losses, metrics, rerank, retrieval, statistics as st, tiler
 from ..sources import writers
+from ..sources.readers import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -359,13 +360,13 @@ def text_lengths(spark, sf):
 
 @query("text_stop_words", f"WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS w FROM documents) SELECT doc_id, count(*) AS kept FROM t WHERE w NOT IN ({_STOPS}) GROUP BY doc_id")
 def text_stop_words(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(_ascii_tokens(F.col("text"))).alias("w"))
+    words = spread(table(spark, sf, "documents")).select("doc_id", F.explode(_ascii_tokens(F.col("text"))).alias("w"))
     return words.filter(~F.col("w").isin(*tx.STOP_WORDS_EN)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("text_token_frequencies", f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
 def text_token_frequencies(spark, sf):
-    return st.token_frequencies(table(spark, sf, "documents"), _ascii_tokens(F.col("text")))
+    return st.token_frequencies(spread(table(spark, sf, "documents")), _ascii_tokens(F.col("text")))
 
 
 @query(
@@ -373,7 +374,7 @@ def text_token_frequencies(spark, sf):
     f"WITH f AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token) SELECT token, n, (row_number() OVER (ORDER BY token IN ('and', 'der') DESC, n DESC, token) - 1)::INT AS new_id FROM f ORDER BY new_id LIMIT 1000",
 )
 def text_vocabulary(spark, sf):
-    chosen = st.select_vocabulary(st.token_frequencies(table(spark, sf, "documents"), _ascii_tokens(F.col("text"))), 1000, ["and", "der"])
+    chosen = st.select_vocabulary(st.token_frequencies(spread(table(spark, sf, "documents")), _ascii_tokens(F.col("text"))), 1000, ["and", "der"])
     return chosen.select("token", "n", F.col("new_id").cast("int").alias("new_id"))
 
 
@@ -484,7 +485,7 @@ def nested_passages(spark, sf):
 
 @query("tiles")
 def tiles(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "text")
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "text")
     out = tiler.tile(docs, most=256, stride=32)
     return out.select("id", "doc_id", "start", "end", "tlen")
 
@@ -720,7 +721,7 @@ _LEXICAL_HITS = "r AS (SELECT qid, id, round(score, 9) AS score, row_number() OV
 
 
 def _lexical(spark, sf, **options) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return _hits(_ranked_again(retrieval.bm25_top_k(docs, questions, _ascii_tokens, 0, item="doc_id", **options)))
 
@@ -740,7 +741,7 @@ def bm25_floored_top10(spark, sf):
 
 @query("sparse_dot_top10", f"WITH {_LEXICAL}, q AS (SELECT qid, term, 1.0 AS w FROM asked), p AS (SELECT id, term, ln(1 + tf) AS w, row_number() OVER (PARTITION BY id ORDER BY round(ln(1 + tf), 9) DESC, term) AS n FROM c), s AS (SELECT qid, id, sum(q.w * p.w) AS score FROM q JOIN p USING (term) WHERE n <= 64 GROUP BY qid, id), {_LEXICAL_HITS}")
 def sparse_dot_top10(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), _ascii_tokens(F.col("text")).alias("words"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), _ascii_tokens(F.col("text")).alias("words"))
     weights = retrieval.term_counts(docs, F.col("words")).select("id", "term", F.round(F.log(1.0 + F.col("tf")), 9).alias("weight"))
     postings = retrieval.top_terms(weights, 64)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(_ascii_tokens(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))

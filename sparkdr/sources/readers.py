@@ -92,6 +92,24 @@ def read_records(spark: SparkSession, path: str, limit: int | None = None, schem
     return df if limit is None else df.limit(limit)
 
 
+#: Largest input in bytes that :func:`spread` deals anew.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan of fewer files than half the cores, dealt to all of them; anything else as it is.
+
+    A file of one row group is one task however large its rows' work is; dealing rows out
+    pays for itself only while the input is small, which is checked.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) * 2 > cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
+
+
 def read_many(spark: SparkSession, patterns: list[str], limit: int | None = None) -> DataFrame:
     """Union by name of several files and patterns; missing fields are null."""
     out = None
