@@ -8,11 +8,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
 from . import bpe_codec, exact_dedup, license_scan, media, mixing, near_dedup, rules, span_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
