@@ -120,11 +120,6 @@ def _arrow(name: str):
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
 
 
-def dense_scores(rows: DataFrame, queries: DataFrame, score: Column) -> DataFrame:
-    """All pairs of a small stated query set and the rows, scored by an expression over ``q`` and ``v``."""
-    return queries.join(rows, F.lit(True)).withColumn("score", score)
-
-
 def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, must_match: tuple[str, str] | None = None) -> DataFrame:
     """Dot product of term weights: ``postings(id, term, weight)`` and ``queries(qid, term, weight)``."""
     joined = queries.select("qid", "term", F.col("weight").alias("_qw"), *([must_match[0]] if must_match else [])).join(postings, "term")
@@ -145,11 +140,6 @@ def term_counts(texts: DataFrame, words: Column, item: str = "id") -> DataFrame:
     return texts.select(item, F.explode(words).alias("term")).groupBy(item, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_statistics(counts: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document frequencies ``(term, df)`` and one row ``(n_docs, avg_len)``."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-
-
 def bm25_top_k(texts: DataFrame, questions: DataFrame, words, k: int, k1: float = 1.2, b: float = 0.75, floor_idf: bool = False, item: str = "id", text: str = "text") -> DataFrame:
     """BM25 of each question over all texts; ``words`` maps a text column to its terms.
 
@@ -157,25 +147,23 @@ def bm25_top_k(texts: DataFrame, questions: DataFrame, words, k: int, k1: float
     ``floor_idf`` uses the Okapi form with negative values floored at a quarter of the mean.
     """
     terms = texts.select(F.col(item).alias("id"), words(F.col(text)).alias("words"))
-    lengths = terms.select("id", F.size("words").alias("len"))
+    totals = F.broadcast(terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_len")))  # one row
     asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     wanted = asked.select("term").distinct()
-    long = terms.select("id", F.explode("words").alias("term"))
-    count = lambda rows: rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    long = terms.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    if not floor_idf:  # other terms go before anything is shuffled, where the questions' terms fit a broadcast
+        long = long.join(wanted, "term", "left_semi")
+    counts = long.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(totals)
     if floor_idf:  # the mean over all terms asks for all of them
-        counts = count(long)
-        df, totals = bm25_statistics(counts, lengths)
-        idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        df = df.crossJoin(F.broadcast(totals)).withColumn("raw", idf)  # one row
-        mean = df.agg(F.avg("raw").alias("mean_idf"))
-        df = df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))
+        df = df.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        df = df.crossJoin(F.broadcast(df.agg(F.avg("raw").alias("mean_idf"))))  # one row
+        df = df.withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))
         counts = counts.join(wanted, "term", "left_semi")
-    else:  # other terms go before anything is shuffled, where the questions' terms fit a broadcast
-        counts = count(long.join(wanted, "term", "left_semi"))
-        df, totals = bm25_statistics(counts, lengths)
-        df = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    else:
+        df = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    postings = counts.join(df.select("term", "idf", "avg_len"), "term").join(lengths, "id").select("id", "term", weight.alias("weight"))
+    postings = counts.join(df.select("term", "idf", "avg_len"), "term").select("id", "term", weight.alias("weight"))
     return sparse_top_k(postings, asked.withColumn("weight", F.lit(1.0)), k)
 
 

@@ -91,3 +91,13 @@ def test_calibrated_report(spark):
     rows = spark.createDataFrame([(float(1 / (1 + np.exp(-2 * v))), int(rng.random() < 1 / (1 + np.exp(-v)))) for v in z], "p double, y int")
     got = {r.calibrator: r for r in calibration.calibrated_report(rows, rows).collect()}
     assert set(got) == {"none", "temperature", "platt", "isotonic"} and got["isotonic"].ece < got["none"].ece
+
+
+def test_spread_small_inputs_only(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/one"
+    spark.range(100).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert readers.spread(df).rdd.getNumPartitions() == cores and readers.spread(df).count() == 100
+    monkeypatch.setattr(readers, "SPREAD_BYTES", 1)
+    assert readers.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
