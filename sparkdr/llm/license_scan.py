@@ -5,6 +5,12 @@ Units are the lines of a text and, where it has several, the whole text.  Normal
 template are sets of distinct word bigrams; they match when ``2 |A & B| / (|A| + |B|)``
 is at least ``threshold``.
 
+Runs are stretches of consecutive words, over any line breaks, of at most ``(2 - t) / t``
+times a template's bigrams; they are compared with the templates and with whole licence
+texts.  A run begins and ends where bigrams of the template do: longer ones only lower
+the coefficient.  Runs that hold words of a matching unit are left out, of those that
+overlap the highest coefficient stays, then the longest, so wrapped and embedded notices count once.
+
 Pruning loses nothing: a match needs ``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``, which
 bounds the units worth comparing with any template and, in the join, the templates worth
 comparing with a unit.  It also needs ``|B| t / (2 - t)`` shared bigrams, so a unit holds
@@ -27,7 +33,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .license_templates import TEMPLATES
+from . import storage
+from .license_templates import FULL_TEXTS, TEMPLATES
 
 
 def normalize(text: str) -> list[str]:
@@ -67,6 +74,11 @@ def anchors(templates, threshold: float) -> list[str]:
 
 def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, position, license, dice)`` of every matching unit; position -1 is the whole text."""
+    return _matching_units(docs, threshold, templates, id_column, text_column).drop("key")
+
+
+def _matching_units(docs: DataFrame, threshold: float, templates, id_column: str, text_column: str) -> DataFrame:
+    """As :func:`scan`, with the ``key`` of each unit's bigrams."""
     spark = docs.sparkSession
     sets = [(name, bigrams(normalize(text))) for name, text in templates]
     table = spark.createDataFrame([(n, len(s), b) for n, s in sets for b in sorted(s)], "license string, size int, bigram string")
@@ -95,12 +107,85 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, id_column
     dice = F.round(F.lit(2.0) * F.col("shared") / (F.col("n") + F.col("size")), 9)
     shared = shared.withColumn("dice", dice).filter(F.col("dice") >= t)
     best = shared.groupBy("id", "position", "key").agg(F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice"))
-    return best.select(F.col("id").alias(id_column), "position", "license", "dice")
+    return best.select(F.col("id").alias(id_column), "position", "license", "dice", "key")
+
+
+def _bigrams(words: Column) -> Column:
+    """Bigrams of an array of words, in order; none of fewer than two."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def anchored(docs: DataFrame, threshold: float, templates, text_column: str) -> DataFrame:
+    """Rows whose text holds an anchor word of any template."""
+    by_letter: dict[str, list[str]] = {}
+    for word in anchors(templates, threshold):
+        by_letter.setdefault(word[0], []).append(word[1:])
+    words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
+    return docs.filter(F.col(text_column).rlike(rf"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"))
+
+
+def scan_runs(docs: DataFrame, units: DataFrame, threshold: float = 0.8, templates=TEMPLATES + FULL_TEXTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, first, last, license, dice)`` of every matching run outside ``units``, by the numbers of its words.
+
+    ``units`` are the matching units with their keys.
+    """
+    table = []
+    for name, text in templates:
+        words = normalize(text)
+        own = bigrams(words)
+        longest = math.floor((len(words) - 1) * (2 - threshold) / threshold + 1e-9)
+        table += [(name, len(own), longest, least_shared(len(own), threshold), b) for b in sorted(own)]
+    table = docs.sparkSession.createDataFrame(table, "license string, size int, longest int, least int, bigram string")
+    body = normalized(F.col(text_column))
+    texts = docs.select(F.col(id_column).alias("id"), body.alias("body"), F.xxhash64(body).alias("text_key"))
+    texts = texts.withColumn("lines", F.transform(F.split("body", "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))).drop("body")
+    texts = texts.withColumn("pairs", _bigrams(F.flatten("lines")))
+
+    hits = texts.select("id", "text_key", F.posexplode("pairs").alias("at", "bigram")).join(F.broadcast(table), "bigram")
+    # rows may repeat an id and a text: sets, not lists
+    hits = hits.groupBy("id", "text_key", "license", "size", "longest", "least").agg(F.array_sort(F.collect_set("at")).alias("at"), F.size(F.collect_set("bigram")).alias("shared"))
+    hits = hits.filter(F.col("shared") >= F.col("least")).drop("shared")
+    # stretches of adjacent hits; a run goes from the first of one to the last of one
+    at = F.col("at")
+    edge = lambda other: F.filter(F.transform(at, lambda p, k: F.struct(p.alias("p"), k.alias("k"))), lambda x: F.coalesce(F.get(at, x["k"] + other) != x["p"] + other, F.lit(True)))
+    hits = hits.withColumn("starts", edge(-1)).withColumn("ends", edge(1))
+    ends = lambda s: F.filter("ends", lambda e: (e["k"] - s["k"] + 1 >= F.col("least")) & (e["p"] - s["p"] < F.col("longest")))
+    hits = hits.withColumn("runs", F.flatten(F.transform("starts", lambda s: F.transform(ends(s), lambda e: F.struct(s["p"].alias("a"), e["p"].alias("z"))))))
+    hits = hits.filter(F.size("runs") > 0).drop("starts", "ends")
+
+    found = hits.join(texts.dropDuplicates(["id", "text_key"]), ["id", "text_key"])
+    own = lambda r: F.size(F.array_distinct(F.slice("pairs", r["a"] + 1, r["z"] - r["a"] + 1)))
+    shared = lambda r: F.size(F.array_distinct(F.transform(F.filter(at, lambda p: p.between(r["a"], r["z"])), lambda p: F.get("pairs", p))))
+    dice = lambda r: F.round(F.lit(2.0) * shared(r) / (own(r) + F.col("size")), 9)
+    scored = F.transform("runs", lambda r: F.struct((-dice(r)).alias("minus_dice"), (r["a"] - r["z"]).alias("minus_words"), F.col("license").alias("license"), r["a"].alias("first"), (r["z"] + 1).alias("last")))
+    found = found.withColumn("runs", F.filter(scored, lambda r: r["minus_dice"] <= -F.lit(threshold))).filter(F.size("runs") > 0)
+
+    taken = units.groupBy(F.col(id_column).alias("id")).agg(F.collect_set(F.struct("position", "key")).alias("taken"))
+    found = found.join(taken, "id", "left")
+    found = found.withColumn("line_of", F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k, F.size(words)))))
+    key = lambda pairs: F.xxhash64(F.array_distinct(pairs))
+    whole = lambda u: (u["position"] == -1) & (u["key"] == key(F.col("pairs")))
+    line = lambda u, r: u["position"].between(F.get("line_of", r["first"]), F.get("line_of", r["last"])) & (u["key"] == key(_bigrams(F.get("lines", u["position"]))))
+    free = lambda r: F.coalesce(~F.exists("taken", lambda u: whole(u) | line(u, r)), F.lit(True))
+    found = found.select("id", "text_key", F.explode(F.filter("runs", free)).alias("run"))
+
+    # runs that overlap: the best first, the longest of equal ones
+    found = found.groupBy("id", "text_key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    none = F.slice("runs", 1, 0)
+    apart = lambda kept, r: F.forall(kept, lambda k: (k["last"] < r["first"]) | (r["last"] < k["first"]))
+    kept = F.aggregate("runs", none, lambda kept, r: F.when(apart(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+    found = found.select("id", F.explode(kept).alias("r")).select(F.col("id").alias(id_column), "r.first", "r.last", "r.license", (-F.col("r.minus_dice")).alias("dice"))
+    return found
 
 
 def summarize(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, n_matches, license, dice)`` of every row: its matching units and the best one (null without any)."""
-    units = scan(docs, threshold, templates, id_column, text_column)
+    """``(id, n_matches, license, dice)`` of every row: its matching units and runs and the best one (null without any)."""
+    every = tuple(templates) + FULL_TEXTS
+    texts = storage.materialize(anchored(docs.select(id_column, text_column), threshold, every, text_column), "licence-texts")
+    units = _matching_units(texts, threshold, templates, id_column, text_column)
+    runs = scan_runs(texts, units, threshold, every, id_column, text_column)
+    units = units.select(id_column, "license", "dice").unionByName(runs.select(id_column, "license", "dice"))
     order = F.struct(-F.col("dice"), "license")
     best = units.groupBy(id_column).agg(F.count(F.lit(1)).alias("n_matches"), F.min_by("license", order).alias("license"), F.max("dice").alias("dice"))
     joined = docs.select(F.col(id_column)).join(best, id_column, "left")
@@ -108,7 +193,10 @@ def summarize(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, id_c
 
 
 def summary_sql(threshold: float = 0.8, templates=TEMPLATES) -> str:
-    """DuckDB SQL of :func:`summarize` over ``documents``, without any pruning."""
+    """DuckDB SQL of :func:`summarize` over ``documents``, without any pruning.
+
+    It knows lines and whole texts: where a run outside them matches, :func:`summarize` counts more.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(n)}, {quote(' '.join(normalize(t)))})" for n, t in templates)
     return f"""
