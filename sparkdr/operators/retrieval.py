@@ -42,13 +42,14 @@ def _metric(name: str) -> tuple[bool, bool, str]:
 
 def dense_top_k(
     rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip", id_column: str = "id", query_column: str = "qid", vector: str = "vector",
-    exclude_self: bool = False, match: tuple[str, str] | None = None,
+    exclude_self: bool = False, match: tuple[str, str] | None = None, candidates=None,
 ) -> DataFrame:
     """Exact nearest rows of each query by inner product, cosine or L2 (score ``1 / (1 + distance)``).
 
     ``exclude_self`` leaves out equal ids; ``match`` is a pair (query column, row column)
     that must be equal, applied before the ranking.  Rows or queries without a vector take
-    no part.
+    no part.  ``candidates`` makes of the queries' vectors a function of row vectors that
+    tells which rows (columns) each query (row) may have.
     """
     import pyarrow as pa
 
@@ -73,6 +74,7 @@ def dense_top_k(
         def run(batches, shared=shared):
             q, names, fields = shared.value
             own = np.array(names, object) if exclude_self else None
+            allowed = candidates(q) if candidates is not None else None
             best: list[list] = [[] for _ in names]  # (-score, id) of the partition's best rows, sorted
             least = np.full(len(names), -np.inf)
             for batch in batches:
@@ -87,6 +89,8 @@ def dense_top_k(
                     score = 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * score, 0)))
                 # rounded, so that ties do not depend on the order of additions
                 score = np.round(score, DIGITS)
+                if allowed is not None:
+                    score[~allowed(v)] = -np.inf
                 if own is not None:
                     score[own[:, None] == np.array(ids, object)[None]] = -np.inf
                 if fields is not None:
@@ -184,6 +188,36 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int, neurons: int, ex
     return found.withColumn("score", F.round(F.pow(1 / F.col("score") - 1, F.lit(2.0))).cast("int"))
 
 
+def hash_top_k(
+    rows: DataFrame, queries: DataFrame, model, k: int, recall: float = 0.9, sample: int = 500, exclude_self: bool = False,
+) -> tuple[DataFrame, int]:
+    """Largest inner products among the rows whose codes by ``model`` share enough positions with the query's.
+
+    How many is measured: the most that leaves the share ``recall`` of the exact ``k`` best
+    of ``sample`` queries (those of the smallest hashes) among the candidates.  Returns the
+    hits and that number.
+    """
+    tested = queries.select("qid", "vector").orderBy(F.xxhash64("qid"), "qid").limit(sample)
+    exact = dense_top_k(rows, tested, k, exclude_self=exclude_self).select("qid", "id")
+    pairs = exact.join(tested.withColumnRenamed("vector", "own"), "qid").join(rows.select("id", "vector"), "id").select("own", "vector").collect()
+    need = 0
+    if pairs:
+        a, b = (model.codes(np.array([r[c] for r in pairs], float)) for c in ("own", "vector"))
+        shared = sorted((a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)).tolist(), reverse=True)
+        need = shared[int(np.ceil(recall * len(shared) - 1e-9)) - 1]
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(model.weights)), np.float32)
+        out[np.arange(len(x))[:, None], model.codes(x)] = 1
+        return out
+
+    def near(q: np.ndarray):
+        own = spread(q)
+        return lambda v: own @ spread(v).T >= need - 0.5
+
+    return dense_top_k(rows, queries, k, exclude_self=exclude_self, candidates=near), need
+
+
 def agree_on(rows: DataFrame, vector: str, other: str) -> DataFrame:
     """Agreement of two vector columns of each row, and which row agrees least."""
     return rows.withColumn("agreement", vectors.agreement(F.col(vector), F.col(other)))
