@@ -1,24 +1,31 @@
 """Media columns: content-defined chunks, stored once and read back verified.
 
 A payload of 8-bit samples is cut where a rolling gear hash of the last 32 bytes has its
-top bits clear, so equal passages give equal chunks wherever they stand.  Chunk digests
-are counted by a Spark aggregation; of a chunk that several rows hold, the row of the
-smallest id keeps the bytes, the others keep its digest only (joins on the digest).  Each
-row's stored form is a recipe, the ordered list of chunk digests and lengths, and the
-bytes of the chunks that are its own.  Reading back joins the missing chunks to their
-rows, checks every chunk against its digest and puts the payload together.
-
-A row's media file is its recipe followed by its distinct chunks in order of appearance;
+top bits clear, so equal passages give equal chunks wherever they stand.  A text is known
+by its content digest: equal texts are one medium.  Chunk digests are counted by a Spark
+aggregation; of a chunk that several media hold, the medium of the smallest content
+digest keeps the bytes, the others name its digest only (joins on the digest).
+
+:func:`store` writes one table of media to the shared folder: content digest, recipe (the
+ordered list of chunk digests and lengths), the digests kept elsewhere, those kept for
+others, and the compressed bytes of the medium's own chunks.  :func:`read_back` reads that
+table: media that need no others are restored where they lie; for the rest the kept chunks
+are joined by digest.  Every chunk is checked against its digest and the payload is put
+together.  A missing or changed chunk raises an error.
+
+A medium's file is its recipe followed by its distinct chunks in order of appearance;
 ``media_bytes`` and ``media_sha256`` are those of that file, so they depend on the text
-alone, not on which row keeps a shared chunk.
+alone, not on which medium keeps a shared chunk.
 
-Bytes are shuffled once (compressed) by row id, shared chunks once more by digest; hot
-digests only multiply digests and the bytes of the rows that need them.
+Texts are read twice (digests, then bytes) and are shuffled only where the media with
+shared or repeated content are too many to be broadcast.  Hot digests multiply digests and
+the bytes of the media that need them, nothing else.
 
 Defined results: a null text counts as empty; the padding makes the payload a positive
-multiple of 576 bytes; rows that repeat an id are stored as rows of one owner; rows with
-a null id own their chunks themselves; an empty table gives an empty table; other columns
-are ignored, whatever their names.
+multiple of 576 bytes; rows may repeat ids or have none, as media are known by content
+and every row gets the values of its own text; an empty table gives an empty table; a
+very long text is one row of chunks of bounded size; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from . import storage
 
@@ -117,27 +125,9 @@ def _compressor():
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-
-
-def chunk_owners(rows: DataFrame) -> DataFrame:
-    """``(id, digest, owner)``: the chunks of each row that other rows hold as well."""
-    import pyarrow as pa
-
-    id_type = dict(rows.dtypes)["id"]
-
-    def run(batches):
-        for batch in batches:
-            at, found = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for digest in dict.fromkeys(hashlib.sha256(c).digest() for c in chunks_of(payload_of(text.encode("utf-8")))):
-                    at.append(i)
-                    found.append(digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], ["id", "digest"])
-
-    held = storage.materialize(rows.filter("id is not null").mapInArrow(run, f"id {id_type}, digest binary"), "digests")
-    shared = held.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("digest", "owner")
-    return storage.materialize(held.join(storage.sized(storage.materialize(shared, "shared-digests")), "digest"), "references")
+    """``(id, text, content)``: the text and its digest."""
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_column}`").alias("id"), text.alias("text"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("content"))
 
 
 def _split(recipe: bytes, payload: bytes) -> dict[bytes, bytes]:
@@ -150,70 +140,111 @@ def _split(recipe: bytes, payload: bytes) -> dict[bytes, bytes]:
 
 
 def own_chunks(recipe: bytes, payload: bytes, foreign) -> bytes:
-    """The bytes that a row keeps: its distinct chunks but those that another row keeps."""
+    """The bytes that a medium keeps: its distinct chunks but those that another one keeps."""
     away = set(foreign or ())
     return b"".join(chunk for digest, chunk in _split(recipe, payload).items() if digest not in away)
 
 
-def layout(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Packed rows ``(id, recipe, packed, foreign, lent)``, shared chunks ``(digest, chunk)``, references ``(id, digest)``.
+def chunk_lists(rows: DataFrame) -> DataFrame:
+    """``(id, content, digests)`` of every row: its distinct chunk digests, as a shared table."""
+    import pyarrow as pa
 
-    ``foreign`` and ``lent`` are the digests whose bytes another row keeps, and those that
-    this row keeps for others.  The first two frames share one shuffle of the payloads
-    when one query uses both.
+    def run(batches):
+        for batch in batches:
+            found = [list(dict.fromkeys(hashlib.sha256(c).digest() for c in chunks_of(payload_of(text.encode("utf-8"))))) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["id", "content", "digests"])
+
+    schema = StructType([rows.schema["id"], StructField("content", BinaryType()), StructField("digests", ArrayType(BinaryType()))])
+    return storage.materialize(rows.select("id", "content", "text").mapInArrow(run, schema), "chunk-lists")
+
+
+def _decisions(lists: DataFrame) -> DataFrame:
+    """``(content, n, writer, foreign, lent)`` of content that several rows hold or with chunks that several media hold.
+
+    ``n`` is the number of rows of repeated content (else null), ``writer`` the id of the one that writes it.
     """
+    repeated = lists.groupBy("content").agg(F.min("id").alias("writer"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = lists.select("content", F.explode("digests").alias("digest"))
+    shared = pairs.groupBy("digest").agg(F.min("content").alias("owner"), F.max("content").alias("last")).filter("owner < last").select("digest", "owner")
+    shared = storage.materialize(shared, "shared-digests")
+    held = pairs.join(storage.sized(shared), "digest").distinct()
+    away = F.col("content") != F.col("owner")
+    held = held.groupBy("content").agg(F.collect_set(F.when(away, F.col("digest"))).alias("foreign"), F.collect_set(F.when(~away, F.col("digest"))).alias("lent"))
+    none = F.array().cast("array<binary>")
+    joined = held.join(repeated, "content", "full")
+    joined = joined.select("content", "n", "writer", F.coalesce("foreign", none).alias("foreign"), F.coalesce("lent", none).alias("lent"))
+    return storage.materialize(joined, "chunk-owners")
+
+
+def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Write the media: ``(id, content)`` of every row, and the stored table ``(content, recipe, foreign, lent, own)``."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     storage.bound_batches(docs.sparkSession)
     rows = _rows(docs, id_column, text_column)
-    id_type = dict(rows.dtypes)["id"]
-    owners = chunk_owners(rows)
-    foreign, lent = F.col("id") != F.col("owner"), F.col("id") == F.col("owner")
-    needs = owners.groupBy("id").agg(F.collect_set(F.when(foreign, F.col("digest"))).alias("foreign"), F.collect_set(F.when(lent, F.col("digest"))).alias("lent"))
+    lists = chunk_lists(rows)
+    decided = _decisions(lists)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    digests, copies = decided.agg(count(1 + F.size("foreign") + F.size("lent")), count(F.col("n") - 1)).first()
+    met = rows.join(decided.hint("broadcast" if digests <= storage.BROADCAST_KEYS else "merge"), "content", "left")
+    met = met.filter(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("writer")))
 
-    def pack(batches):
+    def run(batches):
         squeeze, _ = _compressor()
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
-                recipes, payloads = [], []
-                for text in part.column(1).to_pylist():
+                recipes, own = [], []
+                for text, foreign in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     raw = text.encode("utf-8")
                     payload = payload_of(raw)
-                    recipes.append(make_recipe(len(raw), chunks_of(payload))[0])
-                    payloads.append(squeeze.compress(payload))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(recipes, pa.binary()), pa.array(payloads, pa.binary())], ["id", "recipe", "packed"])
-
-    packed = rows.mapInArrow(pack, f"id {id_type}, recipe binary, packed binary").join(needs.hint("merge"), "id", "left")
+                    recipe, _ = make_recipe(len(raw), chunks_of(payload))
+                    recipes.append(recipe)
+                    own.append(squeeze.compress(own_chunks(recipe, payload, foreign)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(recipes, pa.binary()), part.column(2), part.column(3), pa.array(own, pa.binary())], _STORED.names)
+
+    media = storage.materialize(met.select("content", "text", "foreign", "lent").mapInArrow(run, _STORED), "media")
+    # rows that repeat id and text each write their medium; they are rare, so a count tells first
+    if media.count() > lists.count() - copies:
+        once = storage.materialize(media.dropDuplicates(["content"]), "media")
+        storage.discard(media)
+        media = once
+    return lists.select("id", "content"), media
+
+
+#: The stored table; ``foreign`` and ``lent``: null where no chunk is shared.
+_STORED = StructType([StructField("content", BinaryType()), StructField("recipe", BinaryType()), StructField("foreign", ArrayType(BinaryType())), StructField("lent", ArrayType(BinaryType())), StructField("own", BinaryType())])
+_VALUES = StructType(
+    [StructField("content", BinaryType())]
+    + [StructField(n, t) for n, t in (("n_bytes", LongType()), ("payload_bytes", LongType()), ("payload_sha256", StringType()), ("tail_crc32", LongType()), ("media_bytes", LongType()), ("media_sha256", StringType()), ("feature", StringType()))]
+)
+
+
+def lent_chunks(media: DataFrame) -> DataFrame:
+    """``(digest, chunk)``: the chunks that stored media keep for others, compressed."""
+    import pyarrow as pa
 
-    def shared_chunks(batches):
+    def run(batches):
         squeeze, expand = _compressor()
         for batch in batches:
-            digests, chunks = [], []
-            for i in np.flatnonzero(pc.list_value_length(batch.column(4)).fill_null(0).to_numpy(zero_copy_only=False)).tolist():
-                recipe, payload, lent = (batch.column(c)[i].as_py() for c in (1, 2, 4))
-                have = _split(recipe, expand.decompress(payload))
-                digests += lent
-                chunks += [squeeze.compress(have[digest]) for digest in lent]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "chunk"])
-
-    # no filter or selection here: it would reach below the shuffle, which could not be shared then
-    chunks = packed.mapInArrow(shared_chunks, "digest binary, chunk binary")
-    return packed, chunks, owners.filter(foreign).select("id", "digest").distinct()
-
+            for at in range(0, batch.num_rows, _SLICE_ROWS):
+                digests, chunks = [], []
+                for recipe, foreign, lent, own in zip(*(batch.slice(at, _SLICE_ROWS).column(c).to_pylist() for c in range(4))):
+                    have, data, start, away = {}, expand.decompress(own), 0, set(foreign)
+                    for digest, size in read_recipe(recipe)[1]:
+                        if digest not in away and digest not in have:
+                            have[digest], start = data[start : start + size], start + size
+                    digests += lent
+                    chunks += [squeeze.compress(have[d]) for d in lent]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "chunk"])
 
-def _fetched(chunks: DataFrame, references: DataFrame) -> DataFrame:
-    """``(id, pieces)``: the chunks that each row needs from others."""
-    fetched = references.join(chunks.hint("merge"), "digest").select("id", F.struct("digest", "chunk").alias("piece"))
-    return fetched.groupBy("id").agg(F.collect_list("piece").alias("pieces"))
+    return media.filter(F.size("lent") > 0).select("recipe", "foreign", "lent", "own").mapInArrow(run, "digest binary, chunk binary")
 
 
-def _restored(joined: DataFrame, id_column: str, keep) -> DataFrame:
-    """Media columns of rows ``(id, recipe, bytes, foreign, pieces)``; ``keep``: the row's own bytes of the stored ones."""
+def _restored(media: DataFrame) -> DataFrame:
+    """Values of stored media ``(content, recipe, own, pieces)``."""
     import pyarrow as pa
 
-    names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
@@ -222,46 +253,33 @@ def _restored(joined: DataFrame, id_column: str, keep) -> DataFrame:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
                 out = []
-                for recipe, data, foreign, pieces in zip(*(part.column(c).to_pylist() for c in range(1, 5))):
+                for content, recipe, data, pieces in zip(*(part.column(c).to_pylist() for c in range(4))):
                     others = {p["digest"]: expand.decompress(p["chunk"]) for p in pieces or ()}
                     n_bytes, entries = read_recipe(recipe)
-                    payload, file = restore(recipe, keep(recipe, expand.decompress(data), foreign), others)
+                    payload, file = restore(recipe, expand.decompress(data), others)
+                    if hashlib.sha256(payload[:n_bytes]).digest() != content:
+                        raise ValueError("a restored payload does not match its content digest")
                     out.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), features(payload, len(entries))))
                 columns = list(zip(*out)) or [[]] * len(types)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns, types)], names)
-
-    id_type = dict(joined.dtypes)["id"]
-    return joined.mapInArrow(run, f"`{id_column}` {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frames to write: media rows ``(id, recipe, own)``, shared chunks ``(digest, chunk)``, references ``(id, digest)``."""
-    import pyarrow as pa
-
-    packed, chunks, references = layout(docs, id_column, text_column)
-
-    def run(batches):
-        squeeze, expand = _compressor()
-        for batch in batches:
-            own = [squeeze.compress(own_chunks(r, expand.decompress(p), f)) for r, p, f in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["id", "recipe", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns, types)], _VALUES.names)
 
-    media = packed.select("id", "recipe", "packed", "foreign").mapInArrow(run, f"id {dict(packed.dtypes)['id']}, recipe binary, own binary")
-    return media, chunks, references
+    return media.mapInArrow(run, _VALUES)
 
 
-def read_back(media: DataFrame, chunks: DataFrame, references: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` of written frames."""
-    joined = media.join(_fetched(chunks, references), "id", "left").select("id", "recipe", "own", F.lit(None).cast("array<binary>"), "pieces")
-    return _restored(joined, id_column, lambda recipe, own, _: own)
+def read_back(rows: DataFrame, media: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` of every row, from the stored media."""
+    needs = F.coalesce(F.size("foreign"), F.lit(0)) > 0
+    pieces = StructType([StructField("digest", BinaryType()), StructField("chunk", BinaryType())])
+    whole = _restored(media.filter(~needs).select("content", "recipe", "own", F.lit(None).cast(ArrayType(pieces)).alias("pieces")))
+    parts = media.filter(needs)
+    fetched = parts.select("content", F.explode("foreign").alias("digest")).join(lent_chunks(media), "digest")
+    fetched = fetched.groupBy("content").agg(F.collect_list(F.struct("digest", "chunk")).alias("pieces"))
+    joined = _restored(parts.select("content", "recipe", "own").join(fetched, "content", "left"))
+    values = storage.materialize(whole.unionByName(joined), "media-values")
+    out = rows.join(values.hint("merge"), "content")
+    return out.select(F.col("id").alias(id_column), *_VALUES.names[1:])
 
 
 def store_and_read(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Store every row's payload and read it back in one plan: the columns of :func:`read_back`.
-
-    The payloads are shuffled once: rows meet the digests that others keep, lose those
-    chunks, and get them from the shared chunks again, all partitioned by row id.
-    """
-    packed, chunks, references = layout(docs, id_column, text_column)
-    joined = packed.join(_fetched(chunks, references).hint("merge"), "id", "left").select("id", "recipe", "packed", "foreign", "pieces")
-    return _restored(joined, id_column, own_chunks)
+    """Store every row's payload, then read the stored media: the columns of :func:`read_back`."""
+    return read_back(*store(docs, id_column, text_column), id_column)

@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkdr.llm import components, exact_dedup, media, mixing, near_dedup, span_dedup, storage
@@ -242,25 +244,75 @@ def test_apportionment_against_highest_quotients(spark, seed):
     assert [got[i] for i in range(len(weights))] == sainte_lague(weights, seats)
 
 
-def test_media_round_trip(spark):
+GEAR = np.random.default_rng(0x6EA2).integers(0, 2**32, 256, dtype=np.uint32).tolist()
+
+
+def naive_chunks(payload):
+    """Byte by byte: a rolling gear hash of the last 32 bytes, cuts of 1 to 16 KiB."""
+    out, begin, h = [], 0, 0
+    for i, byte in enumerate(payload):
+        h = ((h << 1) + GEAR[byte]) % 2**32
+        size = i + 1 - begin
+        if i + 1 < len(payload) and (size >= 1024 and h >> 21 == 0 or size == 16_384):
+            out.append(payload[begin : i + 1])
+            begin = i + 1
+    return [*out, payload[begin:]]
+
+
+def naive_medium(text):
+    raw = (text or "").encode()
+    payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+    chunks = naive_chunks(payload)
+    head = b"CDC8\x01" + len(raw).to_bytes(8, "big") + len(chunks).to_bytes(4, "big")
+    file = head + b"".join(hashlib.sha256(c).digest() + len(c).to_bytes(4, "big") for c in chunks) + b"".join(dict.fromkeys(chunks))
+    levels = collections.Counter(x // 16 for x in payload)
+    feature = f"chunks:{len(chunks)};levels:" + ",".join(str(levels[i]) for i in range(16))
+    return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature)
+
+
+def media_values(rows):
+    return sorted((r.doc_id is None, r.doc_id or 0, *tuple(r)[1:]) for r in rows)
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_media_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", broadcast)
     rng = random.Random(3)
     shared = prose(rng, 2_000)
     rows = corpus(1) + [(5000 + i, prose(rng, 300) + shared + prose(rng, 300), "m") for i in range(4)] + [(6000, "z" * 60_000, "m")]
-    got = {r.doc_id: r for r in media.store_and_read(frame(spark, rows)).collect()}
-    assert len(got) == len(rows)
-    forms = {}
-    for i, t, _ in rows:
-        raw = (t or "").encode()
-        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
-        r = got[i]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert forms.setdefault(raw, (r.media_sha256, r.media_bytes, r.feature)) == (r.media_sha256, r.media_bytes, r.feature)
-    stored = media.store(frame(spark, rows))
-    assert {r.doc_id: r for r in media.read_back(*stored).collect()} == got
-    assert stored[1].count() > 0  # some chunks are shared
+    got = media.store_and_read(frame(spark, rows)).collect()
+    assert media_values(got) == sorted((False, i, *naive_medium(t)) for i, t, _ in rows)
+    listed, stored = media.store(frame(spark, rows))
+    kept = media.lent_chunks(stored).collect()
+    assert kept and len(kept) == len({r.digest for r in kept})
+    # every chunk is kept once: the own bytes add up to the distinct chunks of all texts
+    expand = zstandard.ZstdDecompressor()
+    held = sum(len(expand.decompress(r.own)) for r in stored.collect())
+    every = {c for _, t, _ in rows for c in naive_chunks(media.payload_of((t or "").encode()))}
+    assert held == sum(map(len, every)) and stored.count() == len({t or "" for _, t, _ in rows})
+    assert media_values(media.read_back(listed, stored).collect()) == media_values(got)
     assert media.store_and_read(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_media_of_repeated_and_null_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", broadcast)
+    rng = random.Random(4)
+    a, b = prose(rng, 3_000), prose(rng, 2_000)
+    rows = [(5, a, "s"), (5, b, "s"), (9, a, "s"), (5, a, "s"), (None, b + a, None), (None, a, "s"), (None, None, "s"), (None, None, "s"), (7, "", "s"), (8, b + "x", "s")]
+    got = media.store_and_read(frame(spark, rows)).collect()
+    assert media_values(got) == sorted((i is None, i or 0, *naive_medium(t)) for i, t, _ in rows)
+
+
+def test_media_tells_of_damage_in_the_store(spark):
+    rng = random.Random(5)
+    shared = prose(rng, 4_000)
+    listed, stored = media.store(frame(spark, [(1, shared + "one", "s"), (2, shared + "two", "s")]))
+    swap = stored.withColumn("own", F.when(F.size("lent") > 0, F.lit(zstandard.ZstdCompressor().compress(b"q" * 60_000))).otherwise(F.col("own")))
+    with pytest.raises(Exception, match="does not match its digest"):
+        media.read_back(listed, swap).collect()
+
+
 def test_media_detects_damage():
     payload = media.payload_of(b"some text " * 900)
     chunks = media.chunks_of(payload)
