@@ -3,23 +3,27 @@
 Signatures: two small collections of ``tables`` sub-keys, each made of ``rows`` minhashes
 of a text's word shingles.  Every pair of a sub-key of the first and one of the second
 collection is the key of one table, so ``tables ** 2`` tables of ``2 * rows`` minhashes
-cost only ``2 * tables * rows`` minhash computations.  With the defaults (16 and 3: 256
-tables from 96 minhashes) two texts of similarity 0.8 share a table with probability
-0.99998, and what shares tables in a chain is compared as well.
+cost only ``2 * tables * rows`` minhash computations.  With the defaults (20 and 4: 400
+tables from 160 minhashes) two texts of similarity 0.8 share a table with probability
+0.99995 (0.16 at 0.4, 0.02 at 0.3).
 
 Candidates: texts with equal sets are one class, represented by its smallest id.  Every
-representative is linked to the smallest one in each of its tables' buckets; components
-of these links are clusters of candidates.  No pairs of a bucket are emitted.
-
-Verification: the texts of a cluster are dealt into blocks of bounded number and size,
-and every two blocks of a cluster meet in one place, where sets are intersected in full.
-A union-find skips pairs that are already connected, and only links of a spanning forest
-come out; components of these links over all blocks are the result.  No cap drops pairs:
-a large cluster only has more blocks.
+representative is paired with the smallest one (the centre) in each of its tables'
+buckets, and every such pair is verified on full sets before anything is chained: a centre
+meets its partners in places of bounded size.  No pairs of a bucket are emitted.
+
+What is left are buckets whose other members fall in several of the components found so
+far (a bucket of two never does).  Only these are chained to clusters; the texts of a
+cluster are dealt into blocks of bounded number and size, and every two blocks of a
+cluster meet in one place, where sets are intersected in full.  A union-find that starts
+from the components skips pairs that are connected, and only links of a spanning forest
+come out; components of all links are the result.  No cap drops pairs: a centre with many
+partners has more places, a large cluster more blocks.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
-nothing; fewer than ``words`` words are one shingle; rows that repeat an id count once
-for linking and each get a result row; rows with a null id are left out of linking; an
+nothing (their rows' component is their id); fewer than ``words`` words are one shingle; an id that several rows have is one
+document with all their texts: it is linked by each of them, and each row has a result
+row; rows with a null id are left out of linking, have a null component and are kept; an
 empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
@@ -95,8 +99,8 @@ def signatures(docs: DataFrame, words: int, tables: int, rows: int) -> DataFrame
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, a array<long>, b array<long>")
 
 
-def candidate_links(representatives: DataFrame) -> DataFrame:
-    """``(u, v)``: each representative with the smallest one of every bucket that it shares.
+def bucket_keys(representatives: DataFrame) -> DataFrame:
+    """``(id, key, least, n)``: the shared buckets of each representative, their smallest one and number of entries.
 
     A table's bucket can only be shared where both of its sub-keys are, so sub-keys that
     one text alone has go first, and tables are formed from the rest.
@@ -105,37 +109,81 @@ def candidate_links(representatives: DataFrame) -> DataFrame:
     parts = representatives.select("id", F.explode(F.concat(positions("a", True), positions("b", False))).alias("k")).select("id", "k.first", "k.sub")
     shared = parts.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sub")
     shared = parts.join(storage.materialize(shared, "sub-keys"), "sub")
-    side = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("sub")))
+    side = lambda first: F.collect_set(F.when(F.col("first") == first, F.col("sub")))
     keyed = shared.groupBy("id").agg(side(True).alias("a"), side(False).alias("b"))
     keyed = keyed.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y"))
     keyed = storage.materialize(keyed.select("id", F.xxhash64("x", "y").alias("key")), "keys")
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    buckets = storage.materialize(buckets, "buckets")
-    return keyed.join(buckets, "key").filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    out = storage.materialize(keyed.join(storage.materialize(buckets, "buckets"), "key").filter("id > least").select("id", "key", "least", "n"), "bucket-keys")
+    storage.discard(keyed)
+    return out
+
+
+def centre_links(texts: DataFrame, pairs: DataFrame, words: int, percent: int, place_texts: int = 512) -> DataFrame:
+    """Those of the pairs ``(u, v)`` (``v`` the centre) that are similar on full sets.
+
+    ``texts``: ``(id, text)``; an id of several texts is compared by each of them.
+    """
+    import pyarrow as pa
+
+    places = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / place_texts).cast("long").alias("places"))
+    places = storage.materialize(places, "centres")
+    partners = pairs.join(places, "v").select(F.col("u").alias("id"), "v", F.pmod(F.xxhash64("u"), F.col("places")).alias("place"), F.lit(1).alias("turn"))
+    centres = places.select(F.col("v").alias("id"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.lit(0).alias("turn"))
+    met = storage.materialize(partners.unionByName(centres), "meetings")
+    met = texts.join(storage.sized(met), "id").select("v", "place", "turn", "id", "text")
+    met = met.repartition("v", "place").sortWithinPartitions("v", "place", "turn", "id")
+
+    def run(batches):
+        key, centre = None, []
+        for batch in batches:
+            for part, data, offsets in _slices(batch, 4):
+                hashes, sizes = shingle_sets(data, offsets, words)
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                found = []
+                for i, (v, place, turn, u) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)))):
+                    own = hashes[bounds[i] : bounds[i + 1]]
+                    if turn == 0:
+                        if (v, place) != key:
+                            key, centre = (v, place), []
+                        centre.append(own.copy())
+                    elif any(similar(own, c, percent) for c in centre):
+                        found.append((u, v))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
+    return met.mapInArrow(run, "u long, v long")
 
-def verified_links(texts: DataFrame, words: int, percent: int, block_texts: int, block_shingles: int) -> DataFrame:
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether ``100 * |A & B| >= percent * |A | B|`` of two sorted sets."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def verified_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``(u, v)`` of a spanning forest of similar texts within each pair of blocks.
 
-    ``texts``: ``(cluster, blocks, id, text)``.
+    ``texts``: ``(cluster, blocks, id, component, text)``; texts of one component are linked already.
     """
     import pyarrow as pa
 
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "text")
+    dealt = dealt.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component", "text")
     groups = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "id")
 
-    def compare(ids, sets):
+    def compare(ids, known, sets):
         """Spanning forest of the texts of one group."""
         n = len(ids)
         sizes = np.array([len(s) for s in sets])
         if n == 2:
-            same = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-            return [(ids[1], ids[0])] if 100 * same >= percent * (sizes.sum() - same) else []
+            return [(ids[1], ids[0])] if known[0] != known[1] and similar(sets[0], sets[1], percent) else []
         every, place = np.unique(np.concatenate(sets), return_inverse=True)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
-        root = np.arange(n)
+        _, first, of = np.unique(np.array(known), return_index=True, return_inverse=True)
+        root = first[of]
         mark = np.zeros(len(every), bool)
         links = []
         for x in range(n - 1):
@@ -159,32 +207,52 @@ def verified_links(texts: DataFrame, words: int, percent: int, block_texts: int,
         return links
 
     def run(batches):
-        key, ids, sets = None, [], []
+        key, ids, known, sets = None, [], [], []
 
         def done():
             order = sorted(range(len(ids)), key=ids.__getitem__)
-            found = compare([ids[i] for i in order], [sets[i] for i in order]) if len(ids) > 1 else []
+            found = compare(*([x[i] for i in order] for x in (ids, known, sets))) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for part, data, offsets in _slices(batch, 4):
+            for part, data, offsets in _slices(batch, 5):
                 hashes, sizes = shingle_sets(data, offsets, words)
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
-                for i, new in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)))):
+                for i, new in enumerate(zip(*(part.column(c).to_pylist() for c in range(5)))):
                     if new[:3] != key:
                         if len(ids) > 1:
                             yield done()
-                        key, ids, sets = new[:3], [], []
-                    ids.append(new[3])
-                    sets.append(hashes[bounds[i] : bounds[i + 1]].copy())
+                        key, ids, known, sets = new[:3], [], [], []
+                    if sizes[i]:
+                        ids.append(new[3])
+                        known.append(new[4])
+                        sets.append(hashes[bounds[i] : bounds[i + 1]].copy())
         if len(ids) > 1:
             yield done()
 
     return groups.mapInArrow(run, "u long, v long")
 
 
+def _remaining(keys: DataFrame, found: DataFrame, sizes: DataFrame, block_texts: int, block_shingles: int) -> DataFrame:
+    """``(id, cluster, blocks, component)`` of the texts that share a bucket with a text of another component, beside its centre."""
+    keys = keys.filter("n > 2").select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keys = storage.materialize(keys, "component-keys")
+    open_ = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("v")).filter("low < high").select("key", "v")
+    met = keys.join(storage.materialize(open_, "open-buckets"), "key")
+    clusters = storage.materialize(components.connected_components(met.select(F.col("id").alias("u"), "v").filter("u > v").distinct()), "clusters")
+    members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    members = members.unionByName(clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct())
+    members = members.join(sizes, "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # blocks grow with their cluster (up to 32 times), so that its texts are not copied to ever more places
+    n = F.count(F.lit(1))
+    block = F.greatest(F.lit(block_texts), F.least(F.lit(32 * block_texts), F.floor(n / 32)))
+    blocks = F.greatest(F.ceil(n / block), F.ceil(F.sum("n") / block_shingles))
+    dealt = members.groupBy("cluster").agg(blocks.cast("long").alias("blocks"))
+    return storage.materialize(members.join(dealt, "cluster").select("id", "cluster", "blocks", "component"), "members")
+
+
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, tables: int = 16, rows: int = 3, block_texts: int = 128, block_shingles: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, words: int = 5, percent: int = 80, tables: int = 20, rows: int = 4, block_texts: int = 128, block_shingles: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row.
 
@@ -192,33 +260,43 @@ def near_duplicates(
     ``words``-word shingles; ``component_id`` is the smallest id reachable over links.
     """
     storage.bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     signed = storage.materialize(signatures(texts, words, tables, rows), "signatures")
     some = signed.filter("n > 0 and id is not null")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("id").alias("least"))
-    classes = storage.materialize(classes, "classes")
-    representatives = some.dropDuplicates(["id"]).join(classes.select(F.col("least").alias("id")), "id", "left_semi")
-    clusters = storage.materialize(components.connected_components(candidate_links(representatives)), "clusters")
-    members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct())
-    members = members.join(some.select("id", "n").groupBy("id").agg(F.max("n").alias("n")), "id")
-    # blocks grow with their cluster (up to 32 times), so that its texts are not copied to ever more places
-    n = F.count(F.lit(1))
-    block = F.greatest(F.lit(block_texts), F.least(F.lit(32 * block_texts), F.floor(n / 32)))
-    blocks = F.greatest(F.ceil(n / block), F.ceil(F.sum("n") / block_shingles))
-    sizes = members.groupBy("cluster").agg(blocks.cast("long").alias("blocks"))
-    members = storage.materialize(members.join(sizes, "cluster").select("id", "cluster", "blocks"), "members")
-    held = texts.join(storage.sized(members), "id").dropDuplicates(["id"])
-    links = verified_links(held, words, percent, block_texts, block_shingles)
+    same = ["d1", "d2", "n"]
+    classes = storage.materialize(some.groupBy(*same).agg(F.min("id").alias("least")), "classes")
+    # ids of several rows: they are one document; whole texts are only then made distinct
+    often = some.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{name}_{c}") for c in same for name, f in (("low", F.min), ("high", F.max))]).filter("rows > 1")
+    often = storage.materialize(often.select("id", F.expr(" or ".join(f"low_{c} < high_{c}" for c in same)).alias("differ")), "repeated-ids")
+    repeated, differing = often.agg(F.count(F.lit(1)), F.count(F.when(F.col("differ"), True))).first()
+    representatives = some.join(classes.withColumnRenamed("least", "id"), [*same, "id"], "left_semi")
+    if repeated:
+        representatives = representatives.dropDuplicates([*same, "id"])
+        texts = texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"]).drop("hash")
+    keys = bucket_keys(representatives)
+    pairs = storage.materialize(keys.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), "pairs")
+    links = centre_links(texts, pairs, words, percent)
+    if differing:
+        own = some.join(often.filter("differ"), "id").join(classes, same).select("id", "least").distinct()
+        own = storage.materialize(own, "texts-of-ids")
+        links = links.unionByName(own.join(own.groupBy("id").agg(F.min("least").alias("v")), "id").select(F.col("least").alias("u"), "v"))
+    found = storage.materialize(components.connected_components(links), "components")
+    sizes = some.groupBy("id").agg(F.max("n").alias("n"))
+    members = _remaining(keys, found, sizes, block_texts, block_shingles)
+    storage.discard(keys)
+    links = verified_links(texts.join(storage.sized(members), "id"), words, percent)
+    links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
     linked = storage.materialize(components.connected_components(links), "components")
     classes = classes.join(linked.withColumnRenamed("node", "least"), "least", "left")
-    classes = storage.materialize(classes.select("d1", "d2", "n", F.coalesce("component", "least").alias("component")), "classes")
-    out = signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    component = F.coalesce("component", "id")
+    classes = storage.materialize(classes.select(*same, F.coalesce("component", "least").alias("component")), "classes")
+    out = signed.select("id", *same).join(classes, same, "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
+    """The rows of ``docs`` whose id is their component's smallest (or null), with all their columns, whatever their names."""
     marked = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    dropped = storage.materialize(marked.filter("not kept").select(F.col(id_column).alias("__id")).distinct(), "dropped")
-    return docs.join(storage.sized(dropped), F.col(id_column) == F.col("__id"), "left_anti")
+    dropped = storage.materialize(marked.filter("not kept").select(F.col(f"`{id_column}`").alias("id")).distinct(), "dropped")
+    whole = storage.carried(docs, id=F.col(f"`{id_column}`").cast("long"))
+    return whole.join(storage.sized(dropped), "id", "left_anti").select("row.*")

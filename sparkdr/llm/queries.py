@@ -43,7 +43,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"))
+    # repeated passages of 50 words and more; shorter page furniture stays
+    return span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"), span=2, least_words=50)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

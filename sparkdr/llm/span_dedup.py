@@ -1,29 +1,34 @@
 """Substring duplicates by sliding sentence spans.
 
 Texts are split into sentences (ended by ``.``, ``!`` or ``?`` before white space, or by
-a line break).  At every sentence begins a run of consecutive sentences: the shortest one
-of at least ``span`` sentences and ``least_words`` words, so that the runs of a repeated
-passage are alike wherever it stands; a sentence of ``long_words`` words is a run by
-itself.  Each run is hashed to 128 bits over its words (A-Z
-lower-cased, white space ignored).  The hashes are joined globally: the first occurrence of a span is the one in
-the text of the smallest id, and there the earliest.  A sentence that any other
-occurrence covers is removed.
-
-A worker sends each distinct span of a text once, with the sentences it covers only kept
-in the worker's view of the text (they are found again from the hash), so no task ever
-gathers the texts that share a span: counts and smallest ids combine before the shuffle,
-and the decision goes back by an equi-join whose hot keys Spark splits.
+a line break).  At every sentence begins a span: the run of ``span`` consecutive sentences,
+hashed to 128 bits over its words (A-Z lower-cased, white space ignored).  The hashes are
+joined globally: the first occurrence of a span is the one in the first text (by id, then
+by a hash of the text), and there the earliest.  A sentence that any other occurrence
+covers is removed.
+
+With ``least_words`` (off by default) an occurrence counts only where it and the first one
+are part of an equal passage of at least so many words: both are extended word by word, in
+either direction, over sentence ends.  So page furniture of a few short sentences stays,
+and a long passage goes even where its ends are joined to other words.  The words beside a
+first occurrence travel as 32-bit hashes to the other ones.
+
+A worker sends each distinct span of a text once (one shared table).  No task gathers the
+texts that share a span: firsts combine before the shuffle, and the decision goes back by
+equi-joins whose hot keys Spark splits.
 
 Defined results: a null or empty text has no sentences and is returned as an empty text;
-a text of fewer sentences than ``span`` or fewer words than ``least_words`` has no span
-(but for long sentences); rows that repeat an id count as one text, so neither loses what both hold; a null
-id is later than any other; an empty table gives an empty table; extra columns stay out.
+a text of fewer sentences than ``span`` has no span; rows that repeat both id and text count
+as one text, so neither loses what both hold; rows that repeat an id with other texts are
+texts of their own; a null id is later than any other; an empty table gives an empty table;
+a very long text is one row of many spans; extra columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import hashing, storage
 
@@ -70,70 +75,124 @@ def _span_hashes(words: np.ndarray, first: np.ndarray, stop: np.ndarray, base: i
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def text_spans(data: np.ndarray, offsets: np.ndarray, span: int, least_words: int, long_words: int):
-    """Spans of each text of a batch.
-
-    Returns per text the number of its sentences and of its spans; per span its two
-    hashes and its first and last sentence (within the text); and per sentence its byte
-    bounds and words.
-    """
-    if not len(data):
-        none = np.zeros(len(offsets) - 1, np.int64)
-        return none, none, np.zeros((2, 0), U64), np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64), none[:0]
-    words, counts, stop, starts, ends = _sentences(data, offsets)
-    last_word = np.flatnonzero(stop)
-    first_word = np.concatenate(([0], last_word[:-1] + 1))[: len(last_word)]
-    text_end = np.cumsum(counts)
-    per_text = np.diff(np.concatenate(([0], np.searchsorted(last_word, text_end - 1, side="right"))))
-    per_text[counts == 0] = 0
-    text_of = np.repeat(np.arange(len(counts)), per_text)
-    m = len(last_word)
-    a = np.arange(m)
-    z = np.maximum(np.searchsorted(last_word + 1, first_word + least_words), a + span - 1)
-    z = np.where(last_word - first_word + 1 >= long_words, a, z)
-    fits = z < m
-    fits[fits] = text_of[a[fits]] == text_of[z[fits]]
-    a, z = a[fits], z[fits]
-    first, after = first_word[a], last_word[z] + 1
-    keys = np.array([_span_hashes(mixed, first, after, b) for mixed, b in ((words, _BASES[0]), (hashing.mix(words), _BASES[1]))]).reshape(2, -1)
-    spans = np.bincount(text_of[a], minlength=len(counts)) if len(a) else np.zeros(len(counts), np.int64)
-    begin = np.concatenate(([0], np.cumsum(per_text)))[:-1]
-    bounds = np.array([starts[first_word], ends[last_word]]).reshape(2, -1)
-    words_in = last_word - first_word + 1
-    return per_text, spans, keys, np.array([a, z]) - begin[text_of[a]], bounds, words_in
-
-
-def _emit_spans(docs: DataFrame, span: int, least_words: int, long_words: int) -> DataFrame:
-    """``(h1, h2, id)``: each distinct span of each text."""
+class Spans:
+    """Spans of a batch of texts: sentences, their words and the spans that begin at them."""
+
+    def __init__(self, column, span: int):
+        self.data, self.offsets = hashing.utf8_batch(column)
+        n = len(self.offsets) - 1
+        if len(self.data):
+            self.words, counts, stop, starts, ends = _sentences(self.data, self.offsets)
+            last = np.flatnonzero(stop)
+        else:
+            self.words, counts, last, starts, ends = np.zeros(0, U64), np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first_word, self.after_word = np.concatenate(([0], last[:-1] + 1))[: len(last)], last + 1
+        self.byte_from, self.byte_to = starts[self.first_word], ends[last]
+        #: Word and sentence numbers at which each text begins, and where the last one ends.
+        self.word_at = np.concatenate(([0], np.cumsum(counts)))
+        self.sentence_at = np.searchsorted(last, self.word_at)
+        text_of = np.repeat(np.arange(n), np.diff(self.sentence_at))
+        a = np.arange(max(0, len(last) - span + 1))
+        a = a[text_of[a] == text_of[a + span - 1]]
+        #: Each span's first sentence; its words are from ``begin`` up to ``end``.
+        self.sentence, self.owner = a, text_of[a]
+        self.begin, self.end = self.first_word[a], self.after_word[a + span - 1]
+        self.keys = np.array([_span_hashes(mixed, self.begin, self.end, b) for mixed, b in ((self.words, _BASES[0]), (hashing.mix(self.words), _BASES[1]))]).reshape(2, -1).view(np.int64)
+        self.span_at = np.searchsorted(self.owner, np.arange(n + 1))
+
+    def of(self, text: int) -> tuple[range, dict[tuple[int, int], int]]:
+        """The spans of one text, and the earliest one of each hash."""
+        own = range(self.span_at[text], self.span_at[text + 1])
+        earliest: dict[tuple[int, int], int] = {}
+        for j, key in zip(own, zip(self.keys[0, own.start : own.stop].tolist(), self.keys[1, own.start : own.stop].tolist())):
+            earliest.setdefault(key, j)
+        return own, earliest
+
+    def beside(self, text: int, j: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words before and after a span that may be needed to reach ``least`` words."""
+        need = max(0, least - int(self.end[j] - self.begin[j]))
+        left = self.words[max(self.word_at[text], self.begin[j] - need) : self.begin[j]]
+        right = self.words[self.end[j] : min(self.word_at[text + 1], self.end[j] + need)]
+        return left.astype(np.uint32), right.astype(np.uint32)
+
+    def reaches(self, text: int, j: int, other: tuple[np.ndarray, np.ndarray], least: int) -> bool:
+        """Whether a span and the words beside it agree with another occurrence for ``least`` words."""
+        left, right = self.beside(text, j, least)
+        return int(self.end[j] - self.begin[j]) + _agree(left[::-1], other[0][::-1]) + _agree(right, other[1]) >= least
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(id, key, text)``; a row is known by its id and the hash of its text."""
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+_HASHES = [StructField("h1", LongType()), StructField("h2", LongType())]
+
+
+def emit_spans(rows: DataFrame, span: int) -> DataFrame:
+    """``(h1, h2, id, key)``: each distinct span of each text, as a shared table."""
     import pyarrow as pa
 
-    id_type = dict(docs.dtypes)["id"]
-
     def run(batches):
         for batch in batches:
-            data, offsets = hashing.utf8_batch(batch.column(1))
-            _, spans, keys, _, _, _ = text_spans(data, offsets, span, least_words, long_words)
-            owner = np.repeat(np.arange(len(spans)), spans)
-            order = np.lexsort((keys[1], keys[0], owner))
-            k, o = keys[:, order], owner[order]
+            found = Spans(batch.column(2), span)
+            order = np.lexsort((found.keys[1], found.keys[0], found.owner))
+            k, o = found.keys[:, order], found.owner[order]
             new = np.ones(len(o), bool)
             new[1:] = (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (o[1:] != o[:-1])
-            k, o = k[:, new].view(np.int64), o[new]
-            yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1]), batch.column(0).take(pa.array(o))], ["h1", "h2", "id"])
+            k, o = k[:, new], pa.array(o[new])
+            yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1]), batch.column(0).take(o), batch.column(1).take(o)], ["h1", "h2", "id", "key"])
 
-    return docs.mapInArrow(run, f"h1 long, h2 long, id {id_type}")
+    schema = StructType([*_HASHES, rows.schema["id"], StructField("key", LongType())])
+    return storage.materialize(rows.mapInArrow(run, schema), "spans")
 
 
-def find_repeats(docs: DataFrame, span: int, least_words: int, long_words: int) -> DataFrame:
-    """``(id, later array<h1>)``: repeated spans of the text of ``id`` that another text holds first."""
-    spans = _emit_spans(docs, span, least_words, long_words)
-    repeated = spans.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+def find_repeats(rows: DataFrame, span: int, least_words: int) -> DataFrame:
+    """``(id, key, later array<struct<h1, h2, left, right>>)``: spans of a text that an earlier text holds first, with the words beside the first one."""
+    import pyarrow as pa
+
+    spans = emit_spans(rows, span)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
     repeated = storage.materialize(repeated, "repeated-spans")
-    later = spans.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first_id")))
-    return later.groupBy("id").agg(F.collect_list("h1").alias("later"))
+    later = spans.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("h1", "h2", "id", "key")
+    if least_words <= 0:
+        none = F.lit(b"")
+        return later.groupBy("id", "key").agg(F.collect_list(F.struct("h1", "h2", none.alias("left"), none.alias("right"))).alias("later"))
+    firsts = repeated.groupBy("first.id", "first.key").agg(F.collect_list(F.struct("h1", "h2")).alias("wanted"))
+
+    def run(batches):
+        for batch in batches:
+            found, out = Spans(batch.column(0), span), []
+            for i, wanted in enumerate(batch.column(1).to_pylist()):
+                if wanted:
+                    _, earliest = found.of(i)
+                    for w in wanted:
+                        left, right = found.beside(i, earliest[w["h1"], w["h2"]], least_words)
+                        out.append((w["h1"], w["h2"], left.tobytes(), right.tobytes()))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["h1", "h2", "left", "right"])
+
+    # texts of one id and content would say the same: one of them is asked
+    beside = _met(rows, firsts, "wanted").select("text", "wanted").mapInArrow(run, "h1 long, h2 long, left binary, right binary").dropDuplicates(["h1", "h2"])
+    return later.join(beside, ["h1", "h2"]).groupBy("id", "key").agg(F.collect_list(F.struct("h1", "h2", "left", "right")).alias("later"))
+
+
+def _met(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """All rows with what the lists hold for them.  Both joins of a query share one shuffle of the texts."""
+    known = lists.select(F.col("id").alias("_id"), F.col("key").alias("_key"), column).hint("merge")
+    return rows.join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("id", "key", "text", column)
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 2, least_words: int = 20, long_words: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 3, least_words: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_sentences, n_removed, n_words, n_words_removed, text)`` of every row.
 
     ``text`` is the whole text without the removed sentences (and the white space before them).
@@ -141,46 +200,38 @@ def remove_repeated_spans(docs: DataFrame, span: int = 2, least_words: int = 20,
     import pyarrow as pa
 
     storage.bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    id_type = dict(rows.dtypes)["id"]
-    marked = rows.join(find_repeats(rows, span, least_words, long_words), "id", "left").select("id", "text", "later")
+    rows = _rows(docs, id_column, text_column)
+    marked = _met(rows, find_repeats(rows, span, least_words), "later").select("id", "text", "later")
+    schema = StructType([StructField(id_column, rows.schema["id"].dataType), *(StructField(n, LongType()) for n in ("n_sentences", "n_removed", "n_words", "n_words_removed")), StructField("text", StringType())])
 
     def run(batches):
         for batch in batches:
-            data, offsets = hashing.utf8_batch(batch.column(1))
-            per_text, spans, keys, ranges, bounds, words_in = text_spans(data, offsets, span, least_words, long_words)
-            later = batch.column(2).to_pylist()
-            s = k = 0
-            out = []
-            for i, (n, m) in enumerate(zip(per_text.tolist(), spans.tolist())):
-                gone = np.zeros(n + 1, np.int64)
-                if m:
-                    h = keys[0][k : k + m].view(np.int64)
-                    hit = np.ones(m, bool)
-                    if m > 1:  # all occurrences in one text but the earliest
-                        _, earliest = np.unique(h, return_index=True)
-                        hit[earliest] = False
-                    else:
-                        hit[:] = False
-                    if later[i]:
-                        hit |= np.isin(h, np.array(later[i], np.int64))
-                    np.add.at(gone, ranges[0, k : k + m][hit], 1)
-                    np.add.at(gone, ranges[1, k : k + m][hit] + 1, -1)
-                gone = np.cumsum(gone)[:n] > 0
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                words = words_in[s : s + n]
+            found, out = Spans(batch.column(1), span), []
+            for i, later in enumerate(batch.column(2).to_pylist()):
+                own, earliest = found.of(i)
+                begin, end = found.sentence_at[i], found.sentence_at[i + 1]
+                gone = np.zeros(end - begin + 1, np.int64)
+                firsts = {(x["h1"], x["h2"]): (np.frombuffer(x["left"], np.uint32), np.frombuffer(x["right"], np.uint32)) for x in later or ()}
+                if firsts or len(earliest) < len(own):
+                    for j, key in zip(own, zip(found.keys[0, own.start : own.stop].tolist(), found.keys[1, own.start : own.stop].tolist())):
+                        hit = key in firsts and found.reaches(i, j, firsts[key], least_words)
+                        hit = hit or j > earliest[key] and found.reaches(i, j, found.beside(i, earliest[key], least_words), least_words)
+                        if hit:
+                            gone[found.sentence[j] - begin] += 1
+                            gone[found.sentence[j] - begin + span] -= 1
+                gone = np.cumsum(gone)[:-1] > 0
+                raw = found.data[found.offsets[i] : found.offsets[i + 1]].tobytes()
+                sizes = (found.after_word - found.first_word)[begin:end]
                 if gone.any():
-                    b = bounds[:, s : s + n] - offsets[i]
+                    b, e = found.byte_from[begin:end] - found.offsets[i], found.byte_to[begin:end] - found.offsets[i]
                     cut, parts = 0, []
                     for j in np.flatnonzero(gone).tolist():
-                        before = int(b[1, j - 1]) if j else 0
+                        before = int(e[j - 1]) if j else 0
                         parts.append(raw[cut : max(cut, before)])
-                        cut = int(b[1, j])
-                    parts.append(raw[cut:])
-                    raw = b"".join(parts)
-                out.append((n, int(gone.sum()), int(words.sum()), int(words[gone].sum()), raw.decode("utf-8")))
-                s, k = s + n, k + m
+                        cut = int(e[j])
+                    raw = b"".join([*parts, raw[cut:]])
+                out.append((len(gone), int(gone.sum()), int(sizes.sum()), int(sizes[gone].sum()), raw.decode("utf-8")))
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], [id_column, "n_sentences", "n_removed", "n_words", "n_words_removed", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], schema.names)
 
-    return marked.mapInArrow(run, f"`{id_column}` {id_type}, n_sentences long, n_removed long, n_words long, n_words_removed long, text string")
+    return marked.mapInArrow(run, schema)

@@ -2,7 +2,9 @@
 
 Executors may be lost at any time, so intermediate results are Parquet tables in the
 folder named by ``spark.checkpoint.dir`` (readable by all executors), never in local
-caches.  Where the setting is absent (tests on one machine) a temporary folder is used.
+caches.  Where the setting is absent a temporary folder is used in local mode only; a
+cluster without the setting is an error.  The tables of an application stay, as results are
+lazy and read them, until :func:`clear` deletes them all.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: from the session, else one temporary folder."""
+    """The folder for intermediate tables: from the session, else (in local mode) one temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(shared_dir, "own", None)
         if folder is None:
             folder = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="sparkdr-")
@@ -33,13 +37,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the shared table behind a frame returned by :func:`materialize`."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path := getattr(df, "_shared_path", None):
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every shared table of this application: call it when all results are written."""
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``(row, columns...)``: whole rows as one struct, so that no name of theirs can clash; ``select("row.*")`` unpacks them."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
 #: Most keys (of about 100 bytes) that are broadcast.

@@ -78,30 +78,36 @@ def test_exact_dedup_repeated_rows_and_empty_table(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0 and exact_dedup.drop_duplicates(frame(spark, [])).count() == 0
 
 
-def brute_components(rows, k, percent):
-    sets = {}
-    for i, t, _ in rows:
-        w = words_of(t)
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-    parent = {i: i for i in sets}
+def shingles_of(text, k):
+    w = words_of(text)
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_roots(rows, k, percent):
+    """Smallest reachable id of each id; an id of several rows is linked by each of their texts."""
+    sets = [(i, shingles_of(t, k)) for i, t, _ in rows if i is not None]
+    parent = {i: i for i, _ in sets}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b]:
-                same = len(sets[a] & sets[b])
-                if 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
-                    x, y = root(a), root(b)
-                    parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            same = len(a & b)
+            if a and b and 100 * same >= percent * (len(a) + len(b) - same):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in parent}
 
 
-@pytest.mark.parametrize("seed,words,blocks", [(0, 4, 256), (1, 5, 256), (2, 4, 3)])
+def brute_components(rows, k, percent):
+    roots = brute_roots(rows, k, percent)
+    return {i: (len(shingles_of(t, k)), roots[i]) for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("seed,words,blocks", [(0, 4, 256), (1, 5, 256), (2, 4, 3), (3, 4, 3)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, words, blocks):
     monkeypatch.setattr(storage, "BROADCAST_KEYS", 500_000 if seed else 0)
     rows = corpus(seed)
@@ -111,13 +117,48 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, words, bl
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def near_values(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or -1, r.kept) for r in df.collect())
+
+
 def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
-    rows = [(7, "a b", "s"), (7, "a b", "s"), (9, "A  B", "s"), (8, None, "s"), (6, "", "s")]
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
-    assert got == [(6, 0, 6, True), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 1, 7, False)]
+    rows = [(7, "a b", "s"), (7, "a b", "s"), (9, "A  B", "s"), (8, None, "s"), (6, "", "s"), (None, "a b", "s")]
+    got = near_values(near_dedup.near_duplicates(frame(spark, rows)))
+    assert got == [(False, 6, 0, 6, True), (False, 7, 1, 7, True), (False, 7, 1, 7, True), (False, 8, 0, 8, True), (False, 9, 1, 7, False), (True, 0, 1, -1, True)]
     kept = near_dedup.drop_near_duplicates(frame(spark, rows))
-    assert kept.columns == frame(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [6, 7, 7, 8]
+    assert kept.columns == frame(spark, []).columns and sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 6), (False, 7), (False, 7), (False, 8), (True, None)]
+    odd = frame(spark, rows).select("doc_id", "text", F.lit(1).alias("__id"), F.lit(2).alias("id"), F.lit(3).alias("row"), F.lit(4).alias("a name.with dot"))
+    kept = near_dedup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", broadcast)
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, b, "s"), (5, a, "s"), (9, a + " z", "s"), (10, b + " z", "s"), (12, c, "s"), (11, c + " y", "s"), (11, a + " y", "s"), (13, None, "s"), (13, c, "s"), (5, a, "s"), (20, "own text of its own", "s"), (None, a, "s")]
+    roots = brute_roots(rows, 5, 80)
+    assert {roots[i] for i in (5, 9, 10, 11, 12, 13)} == {5}
+    root = lambda i, t: i if i is None or not t else roots[i]
+    want = sorted((i is None, i or 0, len(shingles_of(t, 5)), root(i, t) or -1, root(i, t) == i) for i, t, _ in rows)
+    for df in (frame(spark, rows), frame(spark, rows[::-1]).repartition(3)):
+        assert near_values(near_dedup.near_duplicates(df)) == want
+
+
+def test_texts_that_share_a_minor_part_do_not_chain(spark, monkeypatch):
+    """Texts of pairwise similarity near 0.4: buckets of two are settled by their own comparison."""
+    rng = random.Random(8)
+    furniture = prose(rng, 60)
+    rows = [(i, furniture + " " + prose(rng, 45, 5_000), "s") for i in range(60)] + [(100, furniture + " " + prose(rng, 3), "s"), (101, furniture, "s")]
+    seen = []
+    keep = near_dedup.verified_links
+    monkeypatch.setattr(near_dedup, "verified_links", lambda texts, *rest: (seen.append(texts.select("cluster", "id").distinct().count()), keep(texts, *rest))[1])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_roots(rows, 5, 80)
+    assert got[101] == 100
+    print("compared in full:", seen)
 
 
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8)], [(i + 1, i) for i in range(60)], [(i, 0) for i in range(1, 40)] + [(100, 99)]])
@@ -137,48 +178,95 @@ def test_connected_components(spark, links):
     assert got == {x: root(x) for x in parent if root(x) != x}
 
 
-def brute_spans(rows, least_sentences, least_words, long_words):
-    texts = {}
-    for i, t, _ in rows:
-        raw, out, current = (t or "").encode(), [], []
-        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-        for n, (a, b) in enumerate(spans):
-            w = raw[a:b]
-            current.append(w.translate(LOWER))
-            after = raw[b : spans[n + 1][0]] if n + 1 < len(spans) else b"\n"
-            if w[-1:] in b".!?" or len(w) > 1 and w[-1:] in b"\"')]" and w[-2:-1] in b".!?" or b"\n" in after:
-                out.append(current)
-                current = []
-        texts[i] = out
-    first, gone = {}, {}
-    for i in sorted(texts):
-        own, s = set(), texts[i]
-        for a in range(len(s)):
-            end = a + 1 if len(s[a]) >= long_words else next((e for e in range(a + least_sentences, len(s) + 1) if sum(map(len, s[a:e])) >= least_words), None)
-            if end is not None:
-                key = tuple(w for x in s[a:end] for w in x)
-                if first.setdefault(key, (i, a)) != (i, a):
-                    own.update(range(a, end))
-        gone[i] = own
-    return texts, gone
+def sentences_of(text):
+    raw, out, current = (text or "").encode(), [], []
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    for n, (a, b) in enumerate(spans):
+        w = raw[a:b]
+        current.append(w.translate(LOWER))
+        after = raw[b : spans[n + 1][0]] if n + 1 < len(spans) else b"\n"
+        if w[-1:] in b".!?" or len(w) > 1 and w[-1:] in b"\"')]" and w[-2:-1] in b".!?" or b"\n" in after:
+            out.append(current)
+            current = []
+    return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_span_dedup_against_brute_force(spark, seed):
+def brute_spans(spark, rows, span, least):
+    """Per row its sentences and those removed; spans and passages compared word by word."""
+    keys = spark.createDataFrame([(i, t) for i, t, _ in rows], "i long, t string").select("i", "t", F.xxhash64(F.coalesce("t", F.lit(""))).alias("k")).collect()
+    texts = {}
+    for r in keys:
+        texts[(r.i is None, r.i or 0, r.k)] = r.t
+    first, result = {}, {}
+    for place in sorted(texts):
+        s = sentences_of(texts[place])
+        words, at = [w for x in s for w in x], [0]
+        for x in s:
+            at.append(at[-1] + len(x))
+        own, gone = {}, set()
+        for a in range(len(s) - span + 1):
+            key = tuple(words[at[a] : at[a + span]])
+            others = [first[key]] if key in first else []
+            others += [own[key]] if key in own else []
+            for other, p in others:
+                left = right = 0
+                while at[a] - left > 0 and p - left > 0 and words[at[a] - left - 1] == other[p - left - 1]:
+                    left += 1
+                q, z = p + len(key), at[a + span]
+                while z + right < len(words) and q + right < len(other) and words[z + right] == other[q + right]:
+                    right += 1
+                if left + len(key) + right >= least:
+                    gone.update(range(a, a + span))
+            own.setdefault(key, (words, at[a]))
+        for key, value in own.items():
+            first.setdefault(key, value)
+        result[place] = (s, gone)
+    return [result[(r.i is None, r.i or 0, r.k)] for r in keys]
+
+
+def check_spans(spark, rows, **options):
+    out = collections.Counter((r.doc_id, r.n_sentences, r.n_removed, r.n_words, r.n_words_removed, tuple(words_of(r.text))) for r in span_dedup.remove_repeated_spans(frame(spark, rows), **options).collect())
+    want = collections.Counter()
+    for (i, _, _), (s, gone) in zip(rows, brute_spans(spark, rows, options.get("span", 3), options.get("least_words", 0))):
+        kept = tuple(w for n, x in enumerate(s) if n not in gone for w in x)
+        total = sum(map(len, s))
+        want[i, len(s), len(gone), total, total - len(kept), kept] += 1
+    assert out == want
+    return out
+
+
+PASSAGE = "Alpha beta gamma delta. Epsilon zeta eta theta! Iota kappa lambda mu? Nu xi omicron pi. "
+
+
+@pytest.mark.parametrize("seed,span,least", [(0, 2, 0), (1, 3, 0), (2, 2, 15), (3, 2, 50)])
+def test_span_dedup_against_brute_force(spark, seed, span, least):
     rng = random.Random(seed)
-    passage = "Alpha beta gamma delta. Epsilon zeta eta theta! Iota kappa lambda mu? Nu xi omicron pi. " * 3
     rows = corpus(seed)
-    rows += [(1000 + i, prose(rng, 30) + ".\n" + passage + "\n" + prose(rng, 20), "p") for i in range(4)]
+    rows += [(1000 + i, prose(rng, 30) + ".\n" + PASSAGE * 3 + "\n" + prose(rng, 20), "p") for i in range(4)]
+    # a passage whose ends are joined to other words
+    middle = prose(rng, 25).replace(".", "") + " " + PASSAGE + prose(rng, 25).replace(".", "")
+    rows += [(1100 + i, prose(rng, 30 + i) + " own" + str(i) + " " + middle + " other" + str(i) + " " + prose(rng, 9) + ".", "p") for i in range(3)]
     rows.append((2000, "Same here now. " * 12, "r"))
-    texts, gone = brute_spans(rows, 2, 8, 15)
-    out = span_dedup.remove_repeated_spans(frame(spark, rows), span=2, least_words=8, long_words=15).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        assert (r.n_sentences, r.n_removed) == (len(texts[r.doc_id]), len(gone[r.doc_id])), r.doc_id
-        kept = [w for n, s in enumerate(texts[r.doc_id]) if n not in gone[r.doc_id] for w in s]
-        assert words_of(r.text) == kept
-        assert r.n_words - r.n_words_removed == len(kept)
+    rows += [(5, PASSAGE * 2, "s"), (5, PASSAGE + PASSAGE.upper(), "s"), (5, PASSAGE * 2, "s"), (5, "Own words. " + PASSAGE * 2, "s"), (None, PASSAGE * 2, "s"), (None, "Other. " + PASSAGE * 2, None), (None, None, "s")]
+    out = check_spans(spark, rows, span=span, least_words=least)
+    assert any(x[2] for x in out) and any(x[0] is None and x[2] == x[1] > 0 for x in out) == (least < 50)
+
+
+def test_span_dedup_small_cases(spark):
+    short = "One two three four five. Six seven eight nine ten eleven. Twelve thirteen fourteen fifteen six seven."
+    got = {x[0]: x[2] for x in check_spans(spark, [(i, short, "s") for i in (3, 1, 2)])}
+    assert got == {1: 0, 2: 3, 3: 3}
+    # one long sentence is no run of several
+    long = "word " * 45 + "end."
+    assert not any(x[2] for x in check_spans(spark, [(1, long, "s"), (2, long, "s")], span=2))
     assert span_dedup.remove_repeated_spans(frame(spark, [])).count() == 0
+    assert span_dedup.remove_repeated_spans(frame(spark, []), least_words=50).count() == 0
+    # of passages of 50 words and more all but the first go, furniture stays
+    rng = random.Random(1)
+    passage, furniture = prose(rng, 60) + ". And so on.", "Read more here. Share this page."
+    rows = [(i, prose(rng, 40) + ". " + furniture + " " + (passage if i < 3 else "") + " " + prose(rng, 30) + ".", "s") for i in range(9)]
+    got = {x[0]: x[4] for x in check_spans(spark, rows, span=2, least_words=50)}
+    assert all(got[i] == 0 for i in (0, *range(3, 9))) and all(got[i] >= 40 for i in (1, 2))
 
 
 def water(sizes, weights, cap=3):
