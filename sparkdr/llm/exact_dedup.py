@@ -40,7 +40,7 @@ def digest(body: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    rows = docs.select(F.col(id_column).alias("id"), normalized(F.col(text_column)).alias("body"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), normalized(F.col(f"`{text_column}`")).alias("body"))
     return rows.withColumn("sha", digest(F.col("body")))
 
 
@@ -86,12 +86,11 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
     repeats = storage.materialize(_decided(docs, id_column, text_column, salts).filter("group_size > 1"), "repeats")
-    dropped = repeats.filter("not kept").select(F.col("id").alias("__id"), F.col("sha").alias("__gone")).distinct()
-    dropped = storage.materialize(dropped, "dropped")
-    marked = docs.withColumn("__sha", digest(normalized(F.col(text_column))))
-    left = marked.join(storage.sized(dropped), F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti")
+    dropped = storage.materialize(repeats.filter("not kept").select(F.col("id").alias("gone_id"), F.col("sha").alias("gone_sha")).distinct(), "dropped")
+    whole = storage.carried(docs, id=F.col(f"`{id_column}`"), sha=digest(normalized(F.col(f"`{text_column}`"))))
+    left = whole.join(storage.sized(dropped), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
     # rows that repeat id and text are rare: only they ask for a comparison of whole rows
     again = repeats.filter("kept").groupBy("id", "sha").count().filter("count > 1").take(1)
-    return (left.dropDuplicates([id_column, "__sha"]) if again else left).drop("__sha")
+    return (left.dropDuplicates(["id", "sha"]) if again else left).select("row.*")

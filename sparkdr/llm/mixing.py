@@ -5,17 +5,21 @@ equal token counts.  Seats (blocks) go to sources, and within a source to its sh
 the highest quotients ``weight / (2 * seats + 1)``.  The quotients are not enumerated:
 rounding ``weight / divisor`` gives a state that the sequence of highest quotients passes
 through, and only the few seats by which the rounded sum misses the total are awarded or
-withdrawn one by one.  Each shard then takes its quota as a run of blocks that starts at
-a seeded block and goes round its stream, as often as the quota asks.
+withdrawn one by one.  Each shard then takes its quota: its whole stream as often as that
+asks, and for the rest the blocks that a seeded permutation of the shard's blocks puts
+first (``(a * block + c) mod blocks``, ``a`` a prime that does not divide their number).
 
 Only DataFrame operations are used.  Sources are dealt into shards by a hash of the id,
 so a source with any share of all rows is spread over many tasks; the number of shards
 is bounded by ``max_shards`` plus the number of sources, whatever the input.
 
 Defined results: a null text has size 0; the null source is a source of its own, last in
-order; sources, ids and sizes that tie are ordered by hash, id and size, so reruns agree;
-repeated rows are rows of their own; an empty table gives an empty table; a corpus
-without words takes nothing; other columns are ignored, whatever their names.
+order; rows of a shard are ordered by hash, id, size and text hash, so reruns agree; rows
+that repeat an id or have none are rows of their own; an empty table gives an empty table;
+a corpus without words takes nothing; a very long text may hold blocks of several quotas'
+worth, and each is taken or left; other columns are ignored, whatever their names.
+
+Sources meet in one task (about 60 bytes each); rows and shards of a source do not.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import storage
 
 _SPACE = r"[\x20\x09-\x0D]"
+#: Fixed primes, of which a shard's permutation takes one.
+_PRIMES = (374_761_393, 668_265_263, 2_246_822_519, 2_654_435_761, 3_266_489_917)
 
 
 def word_count(text: Column) -> Column:
@@ -74,7 +80,7 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], weight: str,
     return joined.withColumn(out, (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long")).drop("_share", "_base", "_miss", "_more")
 
 
-def mix(
+def _plan(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -86,16 +92,10 @@ def mix(
     max_shards: int = 65_536,
     seed: int = 17,
 ) -> DataFrame:
-    """``(id, size, source_size, target, taken)`` of every row."""
-    sized = storage.materialize(
-        docs.select(
-            F.col(id_column).alias("id"),
-            F.col(source_column).isNull().alias("sn"),
-            F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("sv"),
-            word_count(F.col(text_column)).alias("size"),
-        ),
-        "sizes",
-    )
+    """``(id, sn, sv, hash, size, source_size, target, taken)`` of every row: its source (null flag, name) and text hash."""
+    text, source = F.col(f"`{text_column}`"), F.col(f"`{source_column}`")
+    sized = docs.select(F.col(f"`{id_column}`").alias("id"), *_source(source), F.xxhash64(text).alias("hash"), word_count(text).alias("size"))
+    sized = storage.materialize(sized, "sizes")
     sources = sized.groupBy("sn", "sv").agg(F.sum("size").alias("source_size")).withColumn("all", F.lit(0))
     place = F.row_number().over(Window.partitionBy("all").orderBy("sn", "sv"))
     sources = water_fill(sources.withColumn("weight", (place - 1) % cycle + 1), cap)
@@ -109,28 +109,57 @@ def mix(
     shards = apportion(shards, ["sn", "sv"], ["shard"], "shard_size", "quota", "blocks")
     words = F.col("blocks") * block_words
     passes = F.coalesce(F.floor(F.try_divide(words, F.col("shard_size"))), F.lit(0))
-    start = F.pmod(F.xxhash64("sv", "shard", F.lit(seed)), F.greatest(F.lit(1), F.floor(F.col("shard_size") / block_words))) * block_words
-    shards = storage.materialize(
-        shards.select("sn", "sv", "shard", "shard_size", "source_size", "target", passes.alias("passes"), (words - passes * F.col("shard_size")).alias("rest"), start.alias("start")),
-        "shards",
-    )
-
-    stream = Window.partitionBy("sn", "sv", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
+    rest = words - passes * F.col("shard_size")
+    whole_blocks = F.floor(F.col("shard_size") / block_words)
+    drawn = F.xxhash64("sv", "shard", F.lit(seed))
+    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in _PRIMES]), (F.pmod(drawn, F.lit(len(_PRIMES))) + 1).cast("int"))
+    shards = shards.select(
+        "sn", "sv", "shard", "shard_size", "source_size", "target", passes.alias("passes"), whole_blocks.alias("whole"),
+        F.floor(rest / block_words).alias("picked"), (rest % block_words).alias("more"),
+        prime.alias("a"), F.pmod(F.xxhash64(drawn), F.greatest(F.lit(1), whole_blocks)).alias("c"),
+    )
+    shards = storage.materialize(shards, "shards")
+
+    stream = Window.partitionBy("sn", "sv", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size", "hash")
     placed = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(shards, ["sn", "sv", "shard"])
     begin, end = F.col("end") - F.col("size"), F.col("end")
-    overlap = lambda a, b: F.greatest(F.lit(0), F.least(end, b) - F.greatest(begin, a))
-    stop = F.col("start") + F.col("rest")
-    part = overlap(F.col("start"), F.least(stop, F.col("shard_size"))) + overlap(F.lit(0), stop - F.col("shard_size"))
+
+    def words_of(block: Column) -> Column:
+        """Words of the row in a block: whole blocks that come first in the permutation, and some words of the next (the short last block comes last)."""
+        turn = F.when(block < F.col("whole"), F.pmod(F.col("a") * block + F.col("c"), F.greatest(F.lit(1), F.col("whole")))).otherwise(block)
+        take = F.when(turn < F.col("picked"), F.lit(block_words)).when(turn == F.col("picked"), F.col("more")).otherwise(F.lit(0))
+        return F.greatest(F.lit(0), F.least(end, block * block_words + take) - F.greatest(begin, block * block_words))
+
+    blocks = F.sequence(F.floor(begin / block_words), F.floor((end - 1) / block_words))
+    part = F.when((F.col("size") > 0) & (F.col("picked") + F.col("more") > 0), F.aggregate(blocks, F.lit(0).cast("long"), lambda total, block: total + words_of(block))).otherwise(F.lit(0))
     taken = F.least(F.col("size") * cap, F.col("passes") * F.col("size") + part)
-    return placed.select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("id", "sn", "sv", "hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
 
+def _source(source: Column) -> tuple[Column, Column]:
+    return source.isNull().alias("sn"), F.coalesce(source.cast("string"), F.lit("")).alias("sv")
 
-def apply_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The mixed corpus: every row as often as its taken words make whole copies, rounded."""
-    plan = mix(docs, id_column, text_column, **options)
-    copies = F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int")
-    plan = plan.select(F.col(id_column).alias("__mixed_id"), copies.alias("__copies")).filter("__copies > 0").dropDuplicates(["__mixed_id"])
-    joined = docs.join(plan, F.col(id_column) == F.col("__mixed_id"))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """``(id, size, source_size, target, taken)`` of every row; options: those of the plan."""
+    plan = _plan(docs, id_column, text_column, source_column, **options)
+    return plan.select(F.col("id").alias(id_column), "size", "source_size", "target", "taken")
+
+
+def apply_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """The mixed corpus: every row as often as its taken words make whole copies, rounded.
+
+    Rows without words weigh nothing and stay once.  Rows that repeat id, source and text
+    get equal numbers of copies; all columns stay, whatever their names.
+    """
+    key = ["sn", "sv", "hash"]
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int"))
+    plan = _plan(docs, id_column, text_column, source_column, **options).select(F.col("id").alias("mixed_id"), *[F.col(c).alias(f"mixed_{c}") for c in key], copies.alias("copies"))
+    plan = plan.groupBy("mixed_id", *[f"mixed_{c}" for c in key]).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    sn, sv = _source(F.col(f"`{source_column}`"))
+    whole = storage.carried(docs, id=F.col(f"`{id_column}`"), sn=sn, sv=sv, hash=F.xxhash64(F.col(f"`{text_column}`")))
+    same = F.col("id").eqNullSafe(F.col("mixed_id"))
+    for c in key:
+        same &= F.col(c) == F.col(f"mixed_{c}")
+    return whole.join(plan, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

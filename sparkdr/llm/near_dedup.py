@@ -13,8 +13,8 @@ buckets, and every such pair is verified on full sets before anything is chained
 meets its partners in places of bounded size.  No pairs of a bucket are emitted.
 
 What is left are buckets whose other members fall in several of the components found so
-far (a bucket of two never does).  Only these are chained to clusters; the texts of a
-cluster are dealt into blocks of bounded number and size, and every two blocks of a
+far (a bucket of two never does).  Only these components are chained to clusters; the texts
+of a cluster are dealt into blocks of bounded number and size, and every two blocks of a
 cluster meet in one place, where sets are intersected in full.  A union-find that starts
 from the components skips pairs that are connected, and only links of a spanning forest
 come out; components of all links are the result.  No cap drops pairs: a centre with many
@@ -234,15 +234,19 @@ def verified_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _remaining(keys: DataFrame, found: DataFrame, sizes: DataFrame, block_texts: int, block_shingles: int) -> DataFrame:
-    """``(id, cluster, blocks, component)`` of the texts that share a bucket with a text of another component, beside its centre."""
-    keys = keys.filter("n > 2").select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    keys = storage.materialize(keys, "component-keys")
-    open_ = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("v")).filter("low < high").select("key", "v")
-    met = keys.join(storage.materialize(open_, "open-buckets"), "key")
-    clusters = storage.materialize(components.connected_components(met.select(F.col("id").alias("u"), "v").filter("u > v").distinct()), "clusters")
-    members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    members = members.unionByName(clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct())
-    members = members.join(sizes, "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """``(id, cluster, blocks, component)`` of the components that share a bucket with another one, beside its centre.
+
+    A component counts once in a bucket, however many of its texts are there.
+    """
+    of = F.coalesce("component", "id")
+    held = keys.filter("n > 2").select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select(of.alias("u"), "key").distinct()
+    held = storage.materialize(held, "component-keys")
+    open_ = held.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("high")).filter("v < high").select("key", "v")
+    met = held.join(storage.materialize(open_, "open-buckets"), "key").filter("u > v").select("u", "v").distinct()
+    clusters = storage.materialize(components.connected_components(met), "clusters")
+    clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")).unionByName(clusters.select("component", F.col("component").alias("cluster")).distinct())
+    members = clusters.join(found, "component").select(F.col("node").alias("id"), "cluster", "component")
+    members = members.unionByName(clusters.select(F.col("component").alias("id"), "cluster", "component")).join(sizes, "id")
     # blocks grow with their cluster (up to 32 times), so that its texts are not copied to ever more places
     n = F.count(F.lit(1))
     block = F.greatest(F.lit(block_texts), F.least(F.lit(32 * block_texts), F.floor(n / 32)))

@@ -9,8 +9,11 @@ The sample is the ``sample_rows`` labelled rows of the smallest id hashes, so it
 the model and what the driver holds do not grow with the input.
 
 Defined results: null and empty texts have all statistics 0 and get the score that the
-rules give them; labels that are null are not learned from; rows are independent, so
-repeated rows get equal scores; without labelled rows of both classes every score is the
+rules give them; statistics are of whole texts, however long; labels that are null are not
+learned from; of an id that several labelled rows or texts have, the highest label and the
+first text by code point are learned; rows are independent, so repeated rows get equal
+scores, and so do rows with a null id; ties of statistics fall on the same side of a
+threshold; without labelled rows of both classes every score is the
 share of label 1 (0.5 without any); an empty table gives an empty table.
 """
 
@@ -21,6 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from . import storage
 
 #: Statistics of a text, in the order in which :func:`text_statistics` gives them.
 STATISTICS = (
@@ -76,9 +82,8 @@ def add_statistics(docs: DataFrame, id_column: str, text_column: str, carried: l
     """``(id, carried..., statistics...)`` of each row: one scan, no shuffle."""
     import pyarrow as pa
 
-    kept = docs.select(F.col(id_column), *carried, F.col(text_column).alias("__statistics_of"))
     names = [id_column, *carried]
-    types = dict(kept.dtypes)
+    kept = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_column}`").alias("__statistics_of"))
 
     def run(batches):
         for batch in batches:
@@ -86,8 +91,7 @@ def add_statistics(docs: DataFrame, id_column: str, text_column: str, carried: l
             table = np.array(rows, float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c) for c in table.T)], [*names, *STATISTICS])
 
-    schema = ", ".join([*(f"`{n}` {types[n]}" for n in names), *(f"{s} double" for s in STATISTICS)])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], *(StructField(s, DoubleType()) for s in STATISTICS)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  #: (statistic, greater?, threshold) conditions, all of which must hold
@@ -208,14 +212,15 @@ def learnable(id_column: str, modulus: int, held: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample_rows: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, text, label)`` of at most ``sample_rows`` learnable rows, by smallest id hash.
+    """``(__id, text, label)`` of at most ``sample_rows`` learnable ids, one row each, by smallest id hash.
 
     The sampled labels are at most ``sample_rows`` small rows, so they may be broadcast.
     """
     picked = labels.select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("__id").isNotNull())
     picked = picked.filter(learnable("__id", modulus, held)).groupBy("__id").agg(F.max("label").alias("label"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    return docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "__id")
+    texts = docs.select(F.col(f"`{id_column}`").alias("__id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")).join(F.broadcast(picked), "__id")
+    return texts.groupBy("__id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, sample_rows: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> RuleModel:
@@ -232,7 +237,6 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3, mod
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns and no shuffle."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__text"))
-    scored = add_statistics(whole, "__row", "__text").filter(model.score_column() >= threshold)
-    return scored.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns, whatever their names, and no shuffle."""
+    whole = storage.carried(docs, text=F.col(f"`{text_column}`"))
+    return add_statistics(whole, "row", "text").filter(model.score_column() >= threshold).select("row.*")

@@ -99,6 +99,13 @@ class Spans:
         self.begin, self.end = self.first_word[a], self.after_word[a + span - 1]
         self.keys = np.array([_span_hashes(mixed, self.begin, self.end, b) for mixed, b in ((self.words, _BASES[0]), (hashing.mix(self.words), _BASES[1]))]).reshape(2, -1).view(np.int64)
         self.span_at = np.searchsorted(self.owner, np.arange(n + 1))
+        order = np.lexsort((self.keys[1], self.keys[0], self.owner))
+        k, o = self.keys[:, order], self.owner[order]
+        again = (k[0][1:] == k[0][:-1]) & (k[1][1:] == k[1][:-1]) & (o[1:] == o[:-1])
+        #: One span of each hash of a text, and which texts repeat a span.
+        self.distinct = order[np.concatenate((np.ones(min(1, len(order)), bool), ~again))]
+        self.repeats = np.zeros(n, bool)
+        self.repeats[o[1:][again]] = True
 
     def of(self, text: int) -> tuple[range, dict[tuple[int, int], int]]:
         """The spans of one text, and the earliest one of each hash."""
@@ -144,11 +151,7 @@ def emit_spans(rows: DataFrame, span: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = Spans(batch.column(2), span)
-            order = np.lexsort((found.keys[1], found.keys[0], found.owner))
-            k, o = found.keys[:, order], found.owner[order]
-            new = np.ones(len(o), bool)
-            new[1:] = (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (o[1:] != o[:-1])
-            k, o = k[:, new], pa.array(o[new])
+            k, o = found.keys[:, found.distinct], pa.array(found.owner[found.distinct])
             yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1]), batch.column(0).take(o), batch.column(1).take(o)], ["h1", "h2", "id", "key"])
 
     schema = StructType([*_HASHES, rows.schema["id"], StructField("key", LongType())])
@@ -208,12 +211,14 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, least_words: int = 0,
         for batch in batches:
             found, out = Spans(batch.column(1), span), []
             for i, later in enumerate(batch.column(2).to_pylist()):
-                own, earliest = found.of(i)
                 begin, end = found.sentence_at[i], found.sentence_at[i + 1]
                 gone = np.zeros(end - begin + 1, np.int64)
-                firsts = {(x["h1"], x["h2"]): (np.frombuffer(x["left"], np.uint32), np.frombuffer(x["right"], np.uint32)) for x in later or ()}
-                if firsts or len(earliest) < len(own):
+                if later or found.repeats[i]:
+                    firsts = {(x["h1"], x["h2"]): (np.frombuffer(x["left"], np.uint32), np.frombuffer(x["right"], np.uint32)) for x in later or ()}
+                    own, earliest = found.of(i)
                     for j, key in zip(own, zip(found.keys[0, own.start : own.stop].tolist(), found.keys[1, own.start : own.stop].tolist())):
+                        if key not in firsts and earliest[key] == j:
+                            continue
                         hit = key in firsts and found.reaches(i, j, firsts[key], least_words)
                         hit = hit or j > earliest[key] and found.reaches(i, j, found.beside(i, earliest[key], least_words), least_words)
                         if hit:

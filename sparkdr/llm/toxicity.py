@@ -10,11 +10,13 @@ a text of n tokens has the expected number ``K n exp(-lambda S)`` by chance.  A
 evidence is the sum of ``-log`` of that over its significant segments, and a logistic
 curve turns evidence into a score.
 
-Everything is learned from a bounded sample (``sample_rows``) of labelled rows; the token
-table keeps at most ``table_size`` tokens, those with the largest z-scores.
+Everything is learned from a bounded sample (``sample_rows``) of labelled rows; the table
+holds every token of it whose log-odds are ``least_z`` standard deviations from 0.
 
 Defined results: null, empty and token-free texts have no segments and get the lowest
-score; repeated rows get equal scores; without labels of both classes all scores are the
+score; whole texts are scanned, however long; repeated rows get equal scores, and rows with
+a null id are scored as others; tokens of equal frequency in both classes count only as
+drift; other columns are ignored, whatever their names; without labels of both classes all scores are the
 share of label 1; an empty table gives an empty table.
 """
 
@@ -27,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from . import storage
 from .rules import labelled_sample, learnable
 
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -142,11 +145,11 @@ def _token_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2, sample_rows: int = 20_000, table_size: int = 20_000,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2, sample_rows: int = 20_000,
     prior: float = 5_000.0, least_z: float = 2.5, drift: float = 0.2, id_column: str = "doc_id", text_column: str = "text",
 ) -> ToxicModel:
     """Learn token log-odds, extreme-value parameters and the curve from the bounded sample."""
-    sample = labelled_sample(docs, labels, label, modulus, held, sample_rows, id_column, text_column)
+    sample = storage.materialize(labelled_sample(docs, labels, label, modulus, held, sample_rows, id_column, text_column), "toxicity-sample")
     counts = _token_counts(sample)
     size = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     n_toxic, n_clean = float(size["toxic"] or 0), float(size["clean"] or 0)
@@ -157,7 +160,8 @@ def fit_toxicity(
     odds = lambda c, n: F.log((F.col(c) + pseudo) / (F.lit(n + prior) - F.col(c) - pseudo))
     spread = F.sqrt(1 / (F.col("toxic") + pseudo) + 1 / (F.col("clean") + pseudo))
     table = counts.withColumn("odds", odds("toxic", n_toxic) - odds("clean", n_clean)).withColumn("z", F.col("odds") / spread)
-    table = table.filter(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "token").limit(table_size)
+    # the tokens of a bounded sample, of which few stand out
+    table = table.filter(F.abs("z") >= least_z).orderBy("token")
     model = ToxicModel({r["token"]: float(r["odds"]) for r in table.select("token", "odds").collect()}, drift=drift)
 
     rows = _segment_statistics(sample, model).toPandas()

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from sparkdr.llm import components, exact_dedup, media, mixing, near_dedup, span_dedup, storage
+from sparkdr.llm import components, exact_dedup, media, mixing, near_dedup, rules, span_dedup, storage
 
 SCHEMA = "doc_id long, text string, source string, component string, n int"  # clashing names
 
@@ -302,7 +302,47 @@ def test_mixing_meets_targets(spark, seed):
     mixed = mixing.apply_mix(frame(spark, rows), block_words=4, shard_words=500)
     assert mixed.columns == frame(spark, rows).columns
     counts = collections.Counter(r.doc_id for r in mixed.collect())
-    assert all(counts[i] == (int(r.taken / r.size + 0.5) if r.size else 0) for i, r in out.items())
+    assert all(counts[i] == (int(r.taken / r.size + 0.5) if r.size else 1) for i, r in out.items())
+
+
+def odd_names(spark, rows):
+    """Rows with columns whose names the operators might use themselves."""
+    names = ["row", "id", "__id", "__sha", "sha", "__gone", "gone_id", "__copies", "copies", "copy", "hash", "sn", "size", "n_words", "score", "a name", "with.dot", "component"]
+    return frame(spark, rows).select("doc_id", "text", "source", *[F.lit(n).alias(name) for n, name in enumerate(names)])
+
+
+def test_whole_rows_stay_whole(spark):
+    rows = [(1, "a b c d", "s"), (2, "A b c d", "s"), (3, "other words here", None), (None, "null id text", "s"), (4, None, "s"), (None, None, None), (5, "a b", "s"), (5, "c d", "s")]
+    docs = odd_names(spark, rows)
+    bare = rules.RuleModel(2.0, [], 0.9)
+    for out, ids in (
+        (exact_dedup.drop_duplicates(docs), [None, 2, 3, 4, 5, 5]),
+        (near_dedup.drop_near_duplicates(docs), [None, None, 1, 3, 4, 5, 5]),
+        (rules.keep_quality(docs, bare), [None, None, 1, 2, 3, 4, 5, 5]),
+        (mixing.apply_mix(docs), None),
+    ):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {tuple(r)[3:] for r in got} == {tuple(range(len(docs.columns) - 3))}
+        if ids is not None:
+            assert sorted((r.doc_id for r in got), key=lambda x: (x is not None, x or 0)) == ids
+    # rows without words stay once in the mix
+    assert sum(r.text is None for r in mixing.apply_mix(docs).collect()) == 2
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    rows = [(1, "w " * 40, "a"), (1, "x " * 30, "a"), (None, "y " * 50, "a"), (None, "z " * 10, "b"), (2, "v " * 60, "b"), (1, "w " * 40, "b")]
+    out = mixing.mix(frame(spark, rows)).collect()
+    again = mixing.mix(frame(spark, rows[::-1]).repartition(4)).collect()
+    place = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.source_size, r.taken)
+    assert sorted(map(place, out)) == sorted(map(place, again)) and len(out) == len(rows)
+    for size in (120, 110):
+        own = [r for r in out if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+    # blocks come from all over a stream, not from one run
+    long = mixing.mix(frame(spark, [(i, "w " * 40, "a") for i in range(200)] + [(i, "w " * 40, "b") for i in range(200, 400)]), shard_words=10**6).collect()
+    partly = [r for r in long if r.source_size == 8000 and r.doc_id < 200 and 0 < r.taken < 40]
+    assert len(partly) > 100
 
 
 def test_mixing_edges(spark):
