@@ -42,20 +42,21 @@ def _metric(name: str) -> tuple[bool, bool, str]:
 
 def dense_top_k(
     rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip", id_column: str = "id", query_column: str = "qid", vector: str = "vector",
-    exclude_self: bool = False, match: tuple[str, str] | None = None, candidates=None,
+    exclude_self: bool = False, match: tuple[str, str] | list[tuple[str, str]] | None = None, candidates=None,
 ) -> DataFrame:
     """Exact nearest rows of each query by inner product, cosine or L2 (score ``1 / (1 + distance)``).
 
-    ``exclude_self`` leaves out equal ids; ``match`` is a pair (query column, row column)
-    that must be equal, applied before the ranking.  Rows or queries without a vector take
+    ``exclude_self`` leaves out equal ids; ``match`` is a pair (query column, row column), or
+    several, that must be equal, applied before the ranking.  Rows or queries without a vector take
     no part.  ``candidates`` makes of the queries' vectors a function of row vectors that
     tells which rows (columns) each query (row) may have.
     """
     import pyarrow as pa
 
     unit, distance, _ = _metric(metric)
-    wanted = queries.select(query_column, *([match[0]] if match else []), vector).filter(F.size(vector) > 0)
-    data = rows.select(F.col(id_column), *([match[1]] if match else []), F.col(vector)).filter(F.size(vector) > 0)
+    match = [match] if isinstance(match, tuple) else list(match or ())
+    wanted = queries.select(query_column, *[a for a, _ in match], vector).filter(F.size(vector) > 0)
+    data = rows.select(F.col(id_column), *[b for _, b in match], F.col(vector)).filter(F.size(vector) > 0)
     id_type, q_type = dict(rows.dtypes)[id_column], dict(queries.dtypes)[query_column]
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     out = None
@@ -68,7 +69,7 @@ def dense_top_k(
         q = np.array([r[vector] for r in got], float)
         if unit:
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names, fields = [r[query_column] for r in got], [r[match[0]] for r in got] if match else None
+        names, fields = [r[query_column] for r in got], [[r[a] for r in got] for a, _ in match]
         shared = rows.sparkSession.sparkContext.broadcast((q, names, fields))
 
         def run(batches, shared=shared):
@@ -93,8 +94,8 @@ def dense_top_k(
                     score[~allowed(v)] = -np.inf
                 if own is not None:
                     score[own[:, None] == np.array(ids, object)[None]] = -np.inf
-                if fields is not None:
-                    score[np.array(fields, object)[:, None] != np.array(batch.column(1).to_pylist(), object)[None]] = -np.inf
+                for at, field in enumerate(fields):
+                    score[np.array(field, object)[:, None] != np.array(batch.column(1 + at).to_pylist(), object)[None]] = -np.inf
                 if k <= 0:
                     i, j = np.nonzero(np.isfinite(score))
                     yield pa.RecordBatch.from_pydict({"qid": [names[x] for x in i], "id": [ids[x] for x in j], "score": score[i, j]}, schema=schema)
@@ -124,13 +125,47 @@ def _arrow(name: str):
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
 
 
-def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, must_match: tuple[str, str] | None = None) -> DataFrame:
-    """Dot product of term weights: ``postings(id, term, weight)`` and ``queries(qid, term, weight)``."""
+#: Most query terms (of some tens of bytes) that travel to the postings.
+QUERY_TERMS = 200_000
+
+
+def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, must_match: tuple[str, str] | None = None, allowed=None) -> DataFrame:
+    """Dot product of term weights: ``postings(id, term, weight)`` and ``queries(qid, term, weight)``.
+
+    Where the queries' terms are few they are broadcast to postings that lie together by
+    id, so scores add up where they are made, and frequent terms are no join keys; only the
+    best ``k`` of each partition are shuffled.  ``allowed`` filters the scored pairs.
+    """
+    if queries.count() <= QUERY_TERMS:
+        postings, queries = postings.repartition("id"), F.broadcast(queries)
     joined = queries.select("qid", "term", F.col("weight").alias("_qw"), *([must_match[0]] if must_match else [])).join(postings, "term")
     if must_match:
         joined = joined.filter(F.col(must_match[0]) == F.col(must_match[1]))
     scored = joined.groupBy("qid", "id").agg(F.sum(F.col("_qw").cast("double") * F.col("weight").cast("double")).alias("score"))
-    return top_k(scored, k)
+    # rounded, so that ties do not depend on the order of additions
+    scored = scored.withColumn("score", F.round("score", DIGITS))
+    return top_k(scored if allowed is None else allowed(scored), k)
+
+
+def where_equal(rows: DataFrame, questions: DataFrame, match: list[tuple[str, str]], item: str = "id"):
+    """A filter of scored pairs ``(qid, id)``: every pair (question column, row column) has equal values."""
+    asked = questions.select("qid", *[F.col(a).alias(f"_q{n}") for n, (a, _) in enumerate(match)])
+    held = rows.select(F.col(item).alias("id"), *[F.col(b).alias(f"_d{n}") for n, (_, b) in enumerate(match)])
+
+    def run(scored: DataFrame) -> DataFrame:
+        joined = scored.join(asked, "qid").join(held, "id")
+        for n in range(len(match)):
+            joined = joined.filter(F.col(f"_q{n}") == F.col(f"_d{n}"))
+        return joined.select(scored.columns)
+
+    return run
+
+
+def bm25_statistics(texts: DataFrame, words, text: str = "text") -> DataFrame:
+    """``(term, df, n_docs, avg_len)`` of a corpus: a table to save and to search other texts with."""
+    terms = texts.select(words(F.col(text)).alias("words"))
+    totals = F.broadcast(terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_len")))  # one row
+    return terms.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(totals)
 
 
 def top_terms(weights: DataFrame, most: int, item: str = "id") -> DataFrame:
@@ -144,21 +179,30 @@ def term_counts(texts: DataFrame, words: Column, item: str = "id") -> DataFrame:
     return texts.select(item, F.explode(words).alias("term")).groupBy(item, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_top_k(texts: DataFrame, questions: DataFrame, words, k: int, k1: float = 1.2, b: float = 0.75, floor_idf: bool = False, item: str = "id", text: str = "text") -> DataFrame:
+def bm25_top_k(texts: DataFrame, questions: DataFrame, words, k: int, k1: float = 1.2, b: float = 0.75, floor_idf: bool = False, item: str = "id", text: str = "text", statistics: DataFrame | None = None, allowed=None) -> DataFrame:
     """BM25 of each question over all texts; ``words`` maps a text column to its terms.
 
     Only postings of question terms are kept, so the join moves what the questions touch.
     ``floor_idf`` uses the Okapi form with negative values floored at a quarter of the mean.
+    ``statistics`` are those of :func:`bm25_statistics`, where not of these texts;
+    ``allowed`` filters the scored pairs.
     """
     terms = texts.select(F.col(item).alias("id"), words(F.col(text)).alias("words"))
-    totals = F.broadcast(terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_len")))  # one row
+    if statistics is None:
+        totals = terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
+    else:
+        totals = statistics.select("n_docs", "avg_len").limit(1)
+    totals = F.broadcast(totals)  # one row
     asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     wanted = asked.select("term").distinct()
     long = terms.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
     if not floor_idf:  # other terms go before anything is shuffled, where the questions' terms fit a broadcast
         long = long.join(wanted, "term", "left_semi")
     counts = long.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(totals)
+    if statistics is None:  # tf is read, so that both uses of the counts share one shuffle
+        df = counts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df")).crossJoin(totals)
+    else:
+        df = statistics.select("term", "df", "n_docs", "avg_len")
     if floor_idf:  # the mean over all terms asks for all of them
         df = df.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         df = df.crossJoin(F.broadcast(df.agg(F.avg("raw").alias("mean_idf"))))  # one row
@@ -168,7 +212,7 @@ def bm25_top_k(texts: DataFrame, questions: DataFrame, words, k: int, k1: float
         df = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     postings = counts.join(df.select("term", "idf", "avg_len"), "term").select("id", "term", weight.alias("weight"))
-    return sparse_top_k(postings, asked.withColumn("weight", F.lit(1.0)), k)
+    return sparse_top_k(postings, asked.withColumn("weight", F.lit(1.0)), k, allowed=allowed)
 
 
 def best_field(results: list[DataFrame], k: int) -> DataFrame:

@@ -133,4 +133,12 @@ def token_windows(df: DataFrame, words: str, size: int, stride: int) -> DataFram
     return df.select("*", F.posexplode(starts).alias("window", "_at")).withColumn("tokens", F.slice(F.col(words), F.col("_at") + 1, F.lit(size))).drop("_at")
 
 
-__all__ = ["URL", "nested_passages", "original_id", "pack_segments", "sentence_bounds", "split_text", "tile", "token_windows"]
+def char_windows(df: DataFrame, text: str, size: int, stride: int) -> DataFrame:
+    """``(…, window, start, piece)``: windows of ``size`` characters that overlap by ``stride``; null and empty texts have none."""
+    step = max(1, size - stride)
+    length = F.char_length(text)
+    starts = F.when(length > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), length - stride - 1), F.lit(step)))
+    return df.select("*", F.posexplode(starts).alias("window", "start")).withColumn("piece", F.substring(F.col(text), F.col("start") + 1, F.lit(size)))
+
+
+__all__ = ["URL", "char_windows", "nested_passages", "original_id", "pack_segments", "sentence_bounds", "split_text", "tile", "token_windows"]

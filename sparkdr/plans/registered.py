@@ -332,9 +332,10 @@ def hash_search_top10(spark, sf):
 
 @query("hash_near_links")
 def hash_near_links(spark, sf):
+    """Class and number of near codes of every vector; the index is fitted with its default parameters."""
     rows = table(spark, sf, "embeddings")
-    model = biohash.fit(rows, "embedding", "vec_id", active=8, neurons=128, epochs=3, sample_rows=1_000)
-    return biohash.near_code_links(biohash.encode(rows, model, "embedding", "vec_id"), 4)
+    model = biohash.fit(rows, "embedding", "vec_id")
+    return biohash.near_code_classes(biohash.encode(rows, model, "embedding", "vec_id"), 4)
 
 
 # --- text and statistics -----------------------------------------------------------------
@@ -418,6 +419,12 @@ def text_token_windows(spark, sf):
     return tiler.token_windows(docs, "words", 64, 10).select("doc_id", F.col("window").alias("part"), F.size("tokens").cast("long").alias("size"))
 
 
+@query("text_char_windows", "WITH w AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(0, length(text) - 31) + 1, 170)) AS start FROM documents WHERE length(text) > 0) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS part, start::INT AS start, md5(substring(text, start::INT + 1, 200)) AS digest FROM w")
+def text_char_windows(spark, sf):
+    out = tiler.char_windows(table(spark, sf, "documents").select("doc_id", "text"), "text", 200, 30)
+    return out.select("doc_id", F.col("window").alias("part"), "start", F.md5(F.encode("piece", "UTF-8")).alias("digest"))
+
+
 @query("text_trimmed", "SELECT doc_id, md5(CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || ' [...]' ELSE text END) AS digest FROM documents")
 def text_trimmed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.trim_chars(F.col("text"), 100, " [...]")).alias("digest"))
@@ -671,11 +678,11 @@ def url_groups(spark, sf):
     return joins.url_groups(table(spark, sf, "pages"), F.regexp_extract("url", "^[a-z]+://[^/]+", 0))
 
 
-@query("lookup_join", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("lookup_join", "SELECT d.doc_id::VARCHAR AS doc_id, p.url AS url, coalesce(p.url, d.source) AS source FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
 def lookup_join(spark, sf):
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    out = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return out.select("c_custkey", "n_name", "r_name")
+    """Urls of pages by id with a ``.txt`` ending; a document without a page keeps its source."""
+    lookup = table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("doc_id"), "url", F.col("url").alias("source"))
+    return joins.attach_lookup(table(spark, sf, "documents").select("doc_id", "source"), lookup, fields=("url", "source")).select("doc_id", "url", "source")
 
 
 @query("missing_positives", "WITH w AS (SELECT DISTINCT unnest([doc_id, doc_id + 100000000]) AS doc_id FROM labels) SELECT count(*) AS n_missing FROM w ANTI JOIN documents USING (doc_id)")
@@ -684,14 +691,12 @@ def missing_positives(spark, sf):
     return joins.missing_positives(questions, table(spark, sf, "documents"))
 
 
-@query("expanded_codes", "WITH c AS (SELECT source AS code, doc_id FROM documents), q AS (SELECT vec_id AS qid, unnest(['src' || label, 'src' || (label + 10)]) AS code FROM embeddings) SELECT qid, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM q JOIN c USING (code) GROUP BY qid")
+@query("expanded_codes", "WITH c AS (SELECT doc_id // 4 AS code, doc_id FROM documents), q AS (SELECT DISTINCT vec_id AS qid, unnest([vec_id // 2, label]) AS code FROM embeddings) SELECT qid, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT qid, doc_id FROM q JOIN c USING (code)) GROUP BY qid")
 def expanded_codes(spark, sf):
-    codes = table(spark, sf, "documents").select(F.col("source").alias("code"), "doc_id")
-    questions = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("a"), F.concat(F.lit("src"), (F.col("label") + 10).cast("string")).alias("b"))
-    # the documents of a code are many here: counted, not gathered
-    long = questions.select("qid", F.explode(F.array("a", "b")).alias("code")).distinct()
-    sizes = codes.groupBy("code").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
-    return long.join(sizes, "code").groupBy("qid").agg(F.sum("n").alias("n_docs"), F.min("first_doc").alias("first_doc"))
+    """Four documents a code, two codes a question."""
+    codes = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("code"), "doc_id")
+    questions = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.floor(F.col("vec_id") / 2).alias("a"), F.col("label").cast("long").alias("b"))
+    return joins.expand_codes(questions, codes, ["a", "b"]).select("qid", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
 @query("judged_hits", f"WITH {_sql_search('h')} SELECT qid, id::VARCHAR AS doc_id, label = qlabel AS relevant FROM h")
@@ -723,7 +728,7 @@ _LEXICAL_HITS = "r AS (SELECT qid, id, round(score, 9) AS score, row_number() OV
 def _lexical(spark, sf, **options) -> DataFrame:
     docs = spread(table(spark, sf, "documents"))
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return _hits(_ranked_again(retrieval.bm25_top_k(docs, questions, _ascii_tokens, 0, item="doc_id", **options)))
+    return _hits(retrieval.bm25_top_k(docs, questions, _ascii_tokens, 10, item="doc_id", **options))
 
 
 @query("bm25_top10", f"WITH {_LEXICAL}, s AS (SELECT qid, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * {_BM25}) AS score FROM asked JOIN c USING (term) JOIN df USING (term) JOIN l USING (id), t GROUP BY qid, id), {_LEXICAL_HITS}")
@@ -745,7 +750,7 @@ def sparse_dot_top10(spark, sf):
     weights = retrieval.term_counts(docs, F.col("words")).select("id", "term", F.round(F.log(1.0 + F.col("tf")), 9).alias("weight"))
     postings = retrieval.top_terms(weights, 64)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(_ascii_tokens(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))
-    return _hits(_ranked_again(retrieval.sparse_top_k(postings, asked, 0)))
+    return _hits(retrieval.sparse_top_k(postings, asked, 10))
 
 
 @query("similar_hits_dropped")

@@ -99,19 +99,22 @@ class Engine:
 
     def _one(self, engine: str, questions: DataFrame, k: int) -> DataFrame:
         r, rows = self.config.retrieval, self.passages
+        if other := [f for f in r.filters if f.get("type", "must") != "must"]:
+            raise ConfigError(f"filters of type {other[0]['type']!r}; known: 'must'")
+        match = [(f["query"], f["document"]) for f in r.filters]
+        allowed = retrieval.where_equal(rows, questions, match) if match else None
         if engine == "bm25":
-            return retrieval.bm25_top_k(rows, questions, lambda c: analyze(c, "text_stop"), k, r.k1, r.b, r.floor_idf)
+            return retrieval.bm25_top_k(rows, questions, lambda c: analyze(c, "text_stop"), k, r.k1, r.b, r.floor_idf, allowed=allowed)
         if engine == "dense":
             own = rows if "vector" in rows.columns else self._encode(rows.select("id", "text", *[f["document"] for f in r.filters]))
             asked = questions if "vector" in questions.columns else self._encode(questions.select("qid", "text", *[f["query"] for f in r.filters]), question=True)
-            must = next(((f["query"], f["document"]) for f in r.filters if f.get("type", "must") == "must"), None)
-            return retrieval.dense_top_k(own, asked, k, r.metric, match=must)
+            return retrieval.dense_top_k(own, asked, k, r.metric, match=match)
         if engine == "sparse":
             words = lambda c: analyze(c, "text_stop")
             counts = retrieval.term_counts(rows.select("id", words(F.col("text")).alias("w")), F.col("w"))
             postings = retrieval.top_terms(counts.select("id", "term", F.log1p("tf").alias("weight")), r.terms)
             asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))
-            return retrieval.sparse_top_k(postings, asked, k)
+            return retrieval.sparse_top_k(postings, asked, k, allowed=allowed)
         raise ConfigError(f"engine {engine!r}")
 
     def search(self, questions: DataFrame) -> DataFrame:

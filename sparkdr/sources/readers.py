@@ -213,10 +213,11 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_relevance_records(df: DataFrame) -> DataFrame:
-    """``(qid, doc_id, relevance)`` of records that name their fields differently; the highest of repeats."""
+    """``(qid, doc_id, relevance)`` of records that name their fields differently; of repeats the later one, as the files lie."""
     pick = lambda names: F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names if n in df.columns])
     out = df.select(pick(["query_id", "qid"]).alias("qid"), pick(["corpus_id", "docid", "pid"]).alias("doc_id"), pick(["relevance", "score"]).cast("double").alias("relevance"))
-    return out.groupBy("qid", "doc_id").agg(F.max("relevance").alias("relevance"))
+    out = out.withColumn("_at", F.monotonically_increasing_id())
+    return out.groupBy("qid", "doc_id").agg(F.max_by("relevance", "_at").alias("relevance"))
 
 
 def read_results(df: DataFrame) -> DataFrame:

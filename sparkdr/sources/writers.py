@@ -21,6 +21,24 @@ def write_results(hits: DataFrame, questions: DataFrame, path: str, mode: str =
     nested_results(hits, questions).write.mode(mode).json(path)
 
 
+def write_metrics(values: DataFrame, path: str, system: str, kind: str = "csv", mode: str = "append") -> None:
+    """Metrics of a system (a few rows) as one more file of a CSV, TSV or JSON table with a column ``system``."""
+    named = values.select(F.lit(system).alias("system"), *[F.col(f"`{c}`") for c in values.columns]).coalesce(1)
+    if kind == "json":
+        named.write.mode(mode).json(path)
+    elif kind in ("csv", "tsv"):
+        named.write.mode(mode).csv(path, header=True, sep="," if kind == "csv" else "\t")
+    else:
+        raise ValueError(f"kind {kind!r}; known: csv, tsv, json")
+
+
+def write_timings(spark: SparkSession, stages: dict[str, float], path: str, system: str, mode: str = "append") -> None:
+    """Seconds of named stages as one more CSV file of ``(system, stage, seconds, share)``."""
+    total = sum(stages.values()) or 1.0
+    rows = [(name, float(seconds), seconds / total) for name, seconds in stages.items()]
+    write_metrics(spark.createDataFrame(rows, "stage string, seconds double, share double"), path, system, mode=mode)
+
+
 def trec_run(hits: DataFrame, tag: str = "0", document: str = "doc_id") -> DataFrame:
     """``(value)`` lines ``qid iter doc score`` of each document's best score, best first within a question."""
     best = hits.groupBy("qid", document).agg(F.max("score").alias("score"))
@@ -64,10 +82,14 @@ def save_table(df: DataFrame, name: str, exists: str = "skip", key: str = "id",
         return action
     if action == "update":
         merged = upsert(spark.table(name), df, key)
-        fresh = f"{name}__new"
-        merged.write.mode("overwrite").saveAsTable(fresh)
-        spark.sql(f"DROP TABLE {name}")
+        fresh, old = f"{name}__new", f"{name}__old"
+        writer = merged.write.mode("overwrite")
+        (writer.bucketBy(buckets, key).sortBy(key) if buckets else writer).saveAsTable(fresh)
+        # the old table is dropped last: whenever the driver dies, one of the two is whole
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
         spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {old}")
         return action
     writer = df.write.mode("append" if action == "append" else "overwrite")
     if buckets and action != "append":

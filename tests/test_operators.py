@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdr.operators import biohash, calibration as cal, dedup, fusion, joins, metrics, rerank, retrieval, statistics as st
+from sparkdr.operators import biohash, calibration as cal, dedup, fusion, joins, metrics, rerank, retrieval, statistics as st, tiler
+from sparkdr.sources import writers
 
 
 def test_metrics_small(spark):
@@ -149,3 +150,37 @@ def test_hash_codes(spark):
     want = {(a, b): 8 - 2 * len(local[a] & local[b]) for a in local for b in local if a < b and 8 - 2 * len(local[a] & local[b]) <= 2}
     assert links == want
     assert np.isfinite(model.energy(np.array(x)))
+
+
+def test_equal_codes_are_one_class(spark):
+    rows = [(i, [0, 1, 2]) for i in range(1, 6)] + [(9, [2, 1, 0]), (10, [1, 2, 3]), (11, [7, 8, 9])]
+    got = {r.id: (r.class_id, r.n_links) for r in biohash.near_code_classes(spark.createDataFrame(rows, "id long, active array<int>"), 2).collect()}
+    assert got == {**{i: (1, 6) for i in (1, 2, 3, 4, 5, 9)}, 10: (10, 6), 11: (11, 0)}
+
+
+def test_saved_statistics_and_filters_of_bm25(spark):
+    texts = spark.createDataFrame([(1, "a b b", "x"), (2, "a c", "y"), (3, "b c c c", "x"), (4, "d", "y")], "id long, text string, lang string")
+    asked = spark.createDataFrame([(7, "b c", "x"), (8, "a", "y")], "qid long, text string, qlang string")
+    words = lambda c: F.split(c, " ")
+    plain = retrieval.bm25_top_k(texts, asked, words, 10).collect()
+    saved = retrieval.bm25_top_k(texts, asked, words, 10, statistics=retrieval.bm25_statistics(texts, words)).collect()
+    place = lambda r: (r.qid, r.rank)
+    assert sorted(plain, key=place) == sorted(saved, key=place)
+    allowed = retrieval.where_equal(texts, asked, [("qlang", "lang")])
+    got = {(r.qid, r.id) for r in retrieval.bm25_top_k(texts, asked, words, 10, allowed=allowed).collect()}
+    assert got == {(7, 1), (7, 3), (8, 2)}
+
+
+def test_character_windows(spark):
+    df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None), (4, "ab")], "id long, text string")
+    got = [(r.id, r.window, r.start, r.piece) for r in tiler.char_windows(df, "text", 4, 1).orderBy("id", "window").collect()]
+    assert got == [(1, 0, 0, "abcd"), (1, 1, 3, "defg"), (1, 2, 6, "ghij"), (4, 0, 0, "ab")]
+
+
+def test_metric_and_timing_files(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    writers.write_metrics(spark.createDataFrame([(10, 0.5)], "rank int, ndcg double"), f"{path}/m", "one")
+    writers.write_metrics(spark.createDataFrame([(10, 0.6)], "rank int, ndcg double"), f"{path}/m", "two")
+    assert sorted((r.system, r.ndcg) for r in spark.read.csv(f"{path}/m", header=True, inferSchema=True).collect()) == [("one", 0.5), ("two", 0.6)]
+    writers.write_timings(spark, {"ingest": 3.0, "search": 1.0}, f"{path}/t", "one")
+    assert sorted((r.stage, r.share) for r in spark.read.csv(f"{path}/t", header=True, inferSchema=True).collect()) == [("ingest", 0.75), ("search", 0.25)]
