@@ -216,7 +216,7 @@ def summary_sql(threshold: float = 0.8, templates=TEMPLATES) -> str:
             SELECT doc_id, position, string_split(trim(regexp_replace(unit, ' +', ' ', 'g')), ' ') AS w FROM units
         ), sets AS (
             SELECT doc_id, position, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-            FROM words WHERE len(w) BETWEEN 2 AND 2000
+            FROM words WHERE len(w) >= 2
         ), scored AS (
             SELECT doc_id, position, name, round(2.0 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)), 9) AS dice
             FROM sets s, templates t
