@@ -59,3 +59,11 @@ def variance_order(df: DataFrame, vector: str) -> DataFrame:
     cells = df.select(F.posexplode(vector).alias("dim", "x"))
     found = cells.groupBy("dim").agg(F.var_samp(F.col("x").cast("double")).alias("variance"))
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("variance"), "dim")) - 1)
+
+
+def anisotropy(df: DataFrame, vector: str) -> DataFrame:
+    """``(n, mean_cosine)`` over all pairs of rows, from the squared length of the sum of unit vectors: no pairs are formed."""
+    cells = df.select(F.posexplode(normalized(F.col(vector))).alias("dim", "x"))
+    sums = cells.groupBy("dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    n = F.max("n")
+    return sums.agg(n.alias("n"), ((F.sum(F.col("s") * F.col("s")) - n) / (n * (n - 1))).alias("mean_cosine"))

@@ -55,3 +55,16 @@ def with_encoded(hits: DataFrame, passages: DataFrame, encode: Callable[[DataFra
     """Encode each distinct passage of the hits once, across queries, and join the vectors back."""
     needed = passages.join(hits.select(key).distinct(), key, "left_semi").dropDuplicates([key])
     return hits.join(encode(needed), key)
+
+
+def with_sparse_similarity(hits: DataFrame, queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """Add ``similarity``: the dot product of ``queries(qid, term, weight)`` and ``passages(id, term, weight)``, 0 where no term is shared.
+
+    Only the hits' pairs are scored: their passages' terms meet their own query's.
+    """
+    pairs = hits.select("qid", "id").distinct()
+    held = pairs.join(passages.select("id", "term", F.col("weight").cast("double").alias("_p")), "id")
+    both = held.join(queries.select("qid", "term", F.col("weight").cast("double").alias("_q")), ["qid", "term"])
+    # rounded, so that ties do not depend on the order of additions
+    sums = both.groupBy("qid", "id").agg(F.round(F.sum(F.col("_p") * F.col("_q")), 9).alias("similarity"))
+    return hits.join(sums, ["qid", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))

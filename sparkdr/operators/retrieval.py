@@ -8,7 +8,11 @@ their size is checked; a larger query set is dealt into blocks of its own.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors
@@ -43,21 +47,99 @@ def _metric(name: str) -> tuple[bool, bool, str]:
 def dense_top_k(
     rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip", id_column: str = "id", query_column: str = "qid", vector: str = "vector",
     exclude_self: bool = False, match: tuple[str, str] | list[tuple[str, str]] | None = None, candidates=None,
+    either: list[tuple[str, str]] | None = None, group: str | None = None,
 ) -> DataFrame:
     """Exact nearest rows of each query by inner product, cosine or L2 (score ``1 / (1 + distance)``).
 
     ``exclude_self`` leaves out equal ids; ``match`` is a pair (query column, row column), or
-    several, that must be equal, applied before the ranking.  Rows or queries without a vector take
-    no part.  ``candidates`` makes of the queries' vectors a function of row vectors that
-    tells which rows (columns) each query (row) may have.
+    several, that must be equal, ``either`` several of which one must be, applied before the
+    ranking.  Rows or queries without a vector take no part.  ``candidates`` makes of the
+    queries' vectors a function of row vectors that tells which rows (columns) each query
+    (row) may have.  With ``group``, a row column, only the best row of each group counts:
+    each batch of rows sends its ``k`` best groups of a query.
     """
     import pyarrow as pa
 
-    unit, distance, _ = _metric(metric)
     match = [match] if isinstance(match, tuple) else list(match or ())
-    wanted = queries.select(query_column, *[a for a, _ in match], vector).filter(F.size(vector) > 0)
-    data = rows.select(F.col(id_column), *[b for _, b in match], F.col(vector)).filter(F.size(vector) > 0)
+    either = list(either or ())
     id_type, q_type = dict(rows.dtypes)[id_column], dict(queries.dtypes)[query_column]
+    schema = pa.schema([("qid", _arrow(q_type)), ("id", _arrow(id_type)), ("score", pa.float64())])
+
+    def run(scored):
+        best: list[list] | None = None  # (-score, id) of the partition's best rows, sorted
+        prepared = None
+        for x in scored:
+            names, ids, score = x.names, x.ids, x.score
+            if candidates is not None:
+                prepared = prepared or candidates(x.q)
+                score[~prepared(x.v)] = -np.inf
+            if group:
+                i, j = _group_best(score, ids, x.rows[group], k)
+                yield pa.RecordBatch.from_pydict({"qid": [names[a] for a in i], "id": [ids[a] for a in j], "score": score[i, j]}, schema=schema)
+                continue
+            if k <= 0:
+                i, j = np.nonzero(np.isfinite(score))
+                yield pa.RecordBatch.from_pydict({"qid": [names[a] for a in i], "id": [ids[a] for a in j], "score": score[i, j]}, schema=schema)
+                continue
+            if best is None:
+                best, least = [[] for _ in names], np.full(len(names), -np.inf)
+            top = score.max(axis=1)
+            for i in np.flatnonzero((top >= least) & np.isfinite(top)):
+                s = score[i]
+                bar = least[i] if len(s) <= k else max(least[i], np.partition(s, len(s) - k)[len(s) - k])
+                new = [(-s[j], ids[j]) for j in np.flatnonzero((s >= bar) & np.isfinite(s))]
+                best[i] = sorted(best[i] + new)[:k]
+                if len(best[i]) == k:
+                    least[i] = -best[i][-1][0]
+        if best is not None:
+            flat = [(names[i], x, -s) for i, found in enumerate(best) for s, x in found]
+            yield pa.RecordBatch.from_pydict({"qid": [f[0] for f in flat], "id": [f[1] for f in flat], "score": [float(f[2]) for f in flat]}, schema=schema)
+
+    fields = [b for _, b in match + either] + ([group] if group else [])
+    out = _scored(rows, queries, run, f"qid {q_type}, id {id_type}, score double", metric, id_column, query_column, vector, exclude_self, match, either, fields)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"qid {q_type}, id {id_type}, score double, rank int")
+    if group:
+        out = out.join(rows.select(F.col(id_column).alias("id"), F.col(group).alias("_group")), "id")
+        return top_k(out, k, group="_group").drop("_group")
+    return top_k(out, k)
+
+
+def _group_best(score: np.ndarray, ids: list, groups, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (query, row) of a matrix of scores: each query's best row of a group, ties by id, of its ``k`` best groups (``k <= 0``: all)."""
+    code = pd.factorize(np.array(groups, object), use_na_sentinel=False)[0]
+    order = np.array(sorted(range(len(ids)), key=lambda j: (code[j], ids[j])))
+    ordered, code = score[:, order], code[order]
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    top = np.maximum.reduceat(ordered, starts, axis=1)
+    column = np.where(ordered == top[:, np.cumsum(np.isin(np.arange(len(code)), starts)) - 1], np.arange(len(code)), len(code))
+    first = np.minimum.reduceat(column, starts, axis=1)
+    usable = np.isfinite(top)
+    if 0 < k < top.shape[1]:  # all that tie with the k-th stay
+        usable &= top >= np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k][:, None]
+    i, g = np.nonzero(usable)
+    return i, order[first[i, g]]
+
+
+@dataclass
+class Scored:
+    """Scores of a batch of rows (columns) with a block of queries (rows); pairs left out are minus infinity."""
+
+    score: np.ndarray
+    names: list
+    q: np.ndarray
+    asked: dict[str, list]
+    ids: list
+    v: np.ndarray
+    rows: dict[str, list]
+
+
+def _scored(rows, queries, run, schema, metric, id_column, query_column, vector, exclude_self=False, match=(), either=(), row_fields=(), query_fields=()) -> DataFrame | None:
+    """What ``run`` makes of the :class:`Scored` batches of each partition, over all blocks of queries; None without queries."""
+    unit, distance, _ = _metric(metric)
+    row_fields, query_fields = list(dict.fromkeys(row_fields)), list(dict.fromkeys([*query_fields, *[a for a, _ in [*match, *either]]]))
+    wanted = queries.select(query_column, *query_fields, vector).filter(F.size(vector) > 0)
+    data = rows.select(F.col(id_column), *row_fields, F.col(vector)).filter(F.size(vector) > 0)
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     out = None
     for block in range(blocks):
@@ -69,19 +151,16 @@ def dense_top_k(
         q = np.array([r[vector] for r in got], float)
         if unit:
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names, fields = [r[query_column] for r in got], [[r[a] for r in got] for a, _ in match]
-        shared = rows.sparkSession.sparkContext.broadcast((q, names, fields))
+        shared = rows.sparkSession.sparkContext.broadcast((q, [r[query_column] for r in got], {c: [r[c] for r in got] for c in query_fields}))
 
-        def run(batches, shared=shared):
-            q, names, fields = shared.value
+        def batches_of(batches, shared=shared):
+            q, names, asked = shared.value
             own = np.array(names, object) if exclude_self else None
-            allowed = candidates(q) if candidates is not None else None
-            best: list[list] = [[] for _ in names]  # (-score, id) of the partition's best rows, sorted
-            least = np.full(len(names), -np.inf)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids = batch.column(0).to_pylist()
+                held = {c: batch.column(1 + at).to_pylist() for at, c in enumerate(row_fields)}
                 v = np.asarray(batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
                 if unit:
                     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -90,33 +169,44 @@ def dense_top_k(
                     score = 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * score, 0)))
                 # rounded, so that ties do not depend on the order of additions
                 score = np.round(score, DIGITS)
-                if allowed is not None:
-                    score[~allowed(v)] = -np.inf
                 if own is not None:
                     score[own[:, None] == np.array(ids, object)[None]] = -np.inf
-                for at, field in enumerate(fields):
-                    score[np.array(field, object)[:, None] != np.array(batch.column(1 + at).to_pylist(), object)[None]] = -np.inf
-                if k <= 0:
-                    i, j = np.nonzero(np.isfinite(score))
-                    yield pa.RecordBatch.from_pydict({"qid": [names[x] for x in i], "id": [ids[x] for x in j], "score": score[i, j]}, schema=schema)
-                    continue
-                top = score.max(axis=1)
-                for i in np.flatnonzero((top >= least) & np.isfinite(top)):
-                    s = score[i]
-                    bar = least[i] if len(s) <= k else max(least[i], np.partition(s, len(s) - k)[len(s) - k])
-                    new = [(-s[j], ids[j]) for j in np.flatnonzero((s >= bar) & np.isfinite(s))]
-                    best[i] = sorted(best[i] + new)[:k]
-                    if len(best[i]) == k:
-                        least[i] = -best[i][-1][0]
-            flat = [(names[i], x, -s) for i, found in enumerate(best) for s, x in found]
-            yield pa.RecordBatch.from_pydict({"qid": [f[0] for f in flat], "id": [f[1] for f in flat], "score": [float(f[2]) for f in flat]}, schema=schema)
 
-        schema = pa.schema([("qid", _arrow(q_type)), ("id", _arrow(id_type)), ("score", pa.float64())])
-        found = data.mapInArrow(run, f"qid {q_type}, id {id_type}, score double")
+                def same(pair, held=held):
+                    a = np.array(asked[pair[0]], object)[:, None]
+                    return (a == np.array(held[pair[1]], object)[None]) & (a != None)  # noqa: E711
+
+                for pair in match:
+                    score[~same(pair)] = -np.inf
+                if either:
+                    score[~np.any([same(pair) for pair in either], axis=0)] = -np.inf
+                yield Scored(score, names, q, asked, ids, v, held)
+
+        found = data.mapInArrow(lambda batches, of=batches_of: run(of(batches)), schema)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], f"qid {q_type}, id {id_type}, score double, rank int")
-    return top_k(out, k)
+    return out
+
+
+def dense_sums(
+    rows: DataFrame, queries: DataFrame, fold, names: list[str], metric: str = "ip", id_column: str = "id", query_column: str = "qid", vector: str = "vector",
+    exclude_self: bool = False, row_fields: tuple[str, ...] = (), query_fields: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(qid, names...)``: figures of each query over all rows, without any row a pair.
+
+    ``fold`` makes of a :class:`Scored` batch an array a name, one value a query; there is one
+    row for each query and batch, to be added up.
+    """
+    import pyarrow as pa
+
+    q_type = dict(queries.dtypes)[query_column]
+
+    def run(scored):
+        for x in scored:
+            yield pa.RecordBatch.from_arrays([pa.array(x.names, _arrow(q_type)), *(pa.array(np.asarray(c, float)) for c in fold(x))], ["qid", *names])
+
+    schema = f"qid {q_type}, " + ", ".join(f"{n} double" for n in names)
+    out = _scored(rows, queries, run, schema, metric, id_column, query_column, vector, exclude_self, row_fields=row_fields, query_fields=query_fields)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def _arrow(name: str):
@@ -147,15 +237,19 @@ def sparse_top_k(postings: DataFrame, queries: DataFrame, k: int, must_match: tu
     return top_k(scored if allowed is None else allowed(scored), k)
 
 
-def where_equal(rows: DataFrame, questions: DataFrame, match: list[tuple[str, str]], item: str = "id"):
-    """A filter of scored pairs ``(qid, id)``: every pair (question column, row column) has equal values."""
-    asked = questions.select("qid", *[F.col(a).alias(f"_q{n}") for n, (a, _) in enumerate(match)])
-    held = rows.select(F.col(item).alias("id"), *[F.col(b).alias(f"_d{n}") for n, (_, b) in enumerate(match)])
+def where_equal(rows: DataFrame, questions: DataFrame, match: list[tuple[str, str]], item: str = "id", either: list[tuple[str, str]] = ()):
+    """A filter of scored pairs ``(qid, id)``: every pair (question column, row column) of ``match`` has equal values, and one of ``either``."""
+    every = [*match, *either]
+    asked = questions.select("qid", *[F.col(a).alias(f"_q{n}") for n, (a, _) in enumerate(every)])
+    held = rows.select(F.col(item).alias("id"), *[F.col(b).alias(f"_d{n}") for n, (_, b) in enumerate(every)])
 
     def run(scored: DataFrame) -> DataFrame:
         joined = scored.join(asked, "qid").join(held, "id")
-        for n in range(len(match)):
-            joined = joined.filter(F.col(f"_q{n}") == F.col(f"_d{n}"))
+        same = [F.col(f"_q{n}") == F.col(f"_d{n}") for n in range(len(every))]
+        for condition in same[: len(match)]:
+            joined = joined.filter(condition)
+        if either:
+            joined = joined.filter(reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), same[len(match) :]))
         return joined.select(scored.columns)
 
     return run

@@ -53,6 +53,20 @@ def left_closed_histogram(df: DataFrame, value: str, bins: int = 10) -> DataFram
     return own.select("bin", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
+def edged_histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """``(bin, n)`` from 1 between given rising edges: left-closed bins, the last one closed on both sides; values outside fall out."""
+    x = F.col(value).cast("double")
+    if len(edges) < 2 or any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("at least two rising edges are needed")
+    at = F.least(sum((x >= float(e)).cast("int") for e in edges), F.lit(len(edges) - 1))
+    return df.filter(x.between(float(edges[0]), float(edges[-1])) & ~F.isnan(x)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def metric_table(rows: DataFrame, metrics: list[str], model: str = "model", metric: str = "metric", value: str = "value") -> DataFrame:
+    """``(model, <metric>...)``: the mean value of each listed metric of each model, null where it has none."""
+    return rows.groupBy(model).pivot(metric, metrics).agg(F.avg(value))
+
+
 PERCENTILES = (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99))
 
 

@@ -103,8 +103,15 @@ def dense_same_label_filter(spark, sf):
     "SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5",
 )
 def dense_group_best(spark, sf):
-    hits = _search(spark, sf, k=0).drop("rank").join(_vectors(spark, sf)[0].select("id", "label"), "id")
-    return _hits(retrieval.top_k(hits, 5, group="label"))
+    return _hits(_search(spark, sf, k=5, group="label"))
+
+
+@query("dense_either_filter", f"WITH {_sql_search('h', where='v.id <> q.id AND (v.label = q.label OR v.id % 7 = q.id % 7)')} {_HITS}")
+def dense_either_filter(spark, sf):
+    """Two filters of which a row must meet one."""
+    rows, queries = _vectors(spark, sf)
+    rows, queries = rows.withColumn("residue", F.col("id") % 7), queries.withColumn("qresidue", F.col("qid") % 7)
+    return _hits(retrieval.dense_top_k(rows, queries, 10, exclude_self=True, either=[("qlabel", "label"), ("qresidue", "residue")]))
 
 
 @query("dense_prefix32_top10", f"WITH {_sql_search('h', size=32)} {_HITS}")
@@ -289,11 +296,7 @@ def vector_prefix_agreement(spark, sf):
 
 @query("vector_anisotropy", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS x FROM embeddings), c AS (SELECT unnest(range(len(x))) AS dim, unnest(x) AS x FROM v), s AS (SELECT dim, sum(x) AS s FROM c GROUP BY dim) SELECT n, round((q - n) / (n * (n - 1)), 6) AS mean_cosine FROM (SELECT sum(s * s) AS q FROM s), (SELECT count(*) AS n FROM embeddings)")
 def vector_anisotropy(spark, sf):
-    """Mean cosine of all pairs from the squared length of the sum of unit vectors: no pairs are formed."""
-    rows = table(spark, sf, "embeddings").select(F.posexplode(vx.normalized(F.col("embedding"))).alias("dim", "x"))
-    sums = rows.groupBy("dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    n = F.max("n")
-    return sums.agg(n.alias("n"), F.round((F.sum(F.col("s") * F.col("s")) - n) / (n * (n - 1)), 6).alias("mean_cosine"))
+    return vx.anisotropy(table(spark, sf, "embeddings"), "embedding").select("n", F.round("mean_cosine", 6).alias("mean_cosine"))
 
 
 @query("vector_quantized", "WITH c AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, trunc(100.0 * unnest(embedding)::DOUBLE)::INT AS weight FROM embeddings) SELECT vec_id, sum(weight)::BIGINT AS total, count(*) FILTER (weight > 0) AS positive FROM c GROUP BY vec_id")
@@ -309,17 +312,13 @@ def vector_quantized(spark, sf):
 )
 def class_separation(spark, sf):
     rows, queries = _vectors(spark, sf)
-    pairs = _search(spark, sf, k=0, metric="cosine").join(rows.select("id", "label"), "id").join(queries.select("qid", "qlabel"), "qid")
-    d = F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0)))
-    same = F.col("label") == F.col("qlabel")
-    return pairs.agg(F.round(F.avg(F.when(~same, d)) / F.avg(F.when(same, d)), 6).alias("separation"))
+    return metrics.class_separation(rows, queries, ("qlabel", "label")).select(F.round("separation", 6).alias("separation"))
 
 
 @query("prefix_quality", f"WITH {_TWO.replace('WHERE rank <= 10', 'WHERE rank <= 1000000000')} SELECT round(avg(abs(h.score - p.score)), 6) AS mean_difference, count(*) AS n FROM h JOIN p USING (qid, id)")
 def prefix_quality(spark, sf):
-    a, b = _search(spark, sf, k=0), _search(spark, sf, k=0, size=32)
-    both = a.join(b.select("qid", "id", F.col("score").alias("other")), ["qid", "id"])
-    return both.agg(F.round(F.avg(F.abs(F.col("score") - F.col("other"))), 6).alias("mean_difference"), F.count(F.lit(1)).alias("n"))
+    out = losses.prefix_difference(losses.prefix_sums(*_vectors(spark, sf), 32))
+    return out.select(F.round("mean_difference", 6).alias("mean_difference"), "n")
 
 
 @query("hash_search_top10")
@@ -430,6 +429,15 @@ def text_trimmed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.trim_chars(F.col("text"), 100, " [...]")).alias("digest"))
 
 
+@query("text_trimmed_fields", "SELECT doc_id, md5(substring(text, 1, 50)) AS digest, substring(source, 1, 3) AS source, substring(lang, 1, 1) AS lang FROM documents")
+def text_trimmed_fields(spark, sf):
+    """Every string of a nested record is cut, wherever it lies."""
+    docs = table(spark, sf, "documents").withColumn("record", F.struct("text", F.array(F.struct("source")).alias("parts"), F.create_map(F.lit("lang"), F.col("lang")).alias("more")))
+    kind, at = docs.schema["record"].dataType, F.col("r")
+    docs = docs.select("doc_id", tx.trim_strings(F.col("record"), kind, 50).alias("r"), tx.trim_strings(F.col("record"), kind, 3).alias("s"), tx.trim_strings(F.col("record"), kind, 1).alias("t"))
+    return docs.select("doc_id", F.md5(at["text"]).alias("digest"), F.col("s")["parts"][0]["source"].alias("source"), F.col("t")["more"]["lang"].alias("lang"))
+
+
 @query("text_masked_urls", "SELECT page_id, md5(regexp_replace(html, 'https?://[^ \\t\\n\\r\\f\\v<>\"'']+', 'URL', 'g')) AS digest FROM pages")
 def text_masked_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(tx.mask_urls(F.col("html"))).alias("digest"))
@@ -479,9 +487,14 @@ def text_detokenized(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.detokenize(spaced)).alias("digest"))
 
 
-@query("text_analyzed")
+_ANALYZED = r"list_filter(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '[\p{L}\p{N}]+'), lambda w: w NOT IN (" + _STOPS + "))"
+_STEM = "CASE WHEN length(w) <= 3 THEN w WHEN regexp_matches(w, '[^ae]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '[^aeious]s$') THEN regexp_replace(w, 's$', '') ELSE w END"
+
+
+@query("text_analyzed", f"SELECT doc_id, len({_ANALYZED})::INT AS n_terms, md5(array_to_string(list_transform({_ANALYZED}, lambda w: {_STEM}), ' ')) AS digest FROM documents")
 def text_analyzed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(tx.analyze(F.col("text"), "text_stop")).alias("n_terms"))
+    terms = spread(table(spark, sf, "documents")).select("doc_id", tx.analyze(F.col("text"), "text_stop").alias("terms"))
+    return terms.select("doc_id", F.size("terms").alias("n_terms"), F.md5(F.array_join("terms", " ")).alias("digest"))
 
 
 @query("nested_passages", "SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS doc_id, md5(text) AS digest FROM conversations")
@@ -521,6 +534,14 @@ def histogram_left_closed(spark, sf):
     return st.left_closed_histogram(table(spark, sf, "events"), "value").select("bin", "n", F.round("percent", 6).alias("percent"))
 
 
+_CUTS = (0.0, 1.0, 5.0, 20.0, 50.0, 100.0)
+
+
+@query("histogram_edges", f"SELECT least(len(list_filter({list(_CUTS)}, lambda e: e <= value)), {len(_CUTS) - 1})::INT AS bin, count(*) AS n FROM events WHERE value BETWEEN {_CUTS[0]} AND {_CUTS[-1]} GROUP BY 1")
+def histogram_edges(spark, sf):
+    return st.edged_histogram(table(spark, sf, "events"), "value", list(_CUTS))
+
+
 @query("source_counters", "SELECT source, lang, count(*) AS count FROM documents GROUP BY source, lang")
 def source_counters(spark, sf):
     return st.counters(table(spark, sf, "documents"), "source", "lang")
@@ -546,11 +567,13 @@ def leaderboard(spark, sf):
     return st.leaderboard(rows, kinds)
 
 
-@query("metric_table", "SELECT user_id % 7 AS model, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view, round(avg(value) FILTER (event_type = 'error'), 6) AS error FROM events GROUP BY 1")
+_EVENTS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("metric_table", "SELECT user_id % 7 AS model, " + ", ".join(f"round(avg(value) FILTER (event_type = '{e}'), 6) AS {e}" for e in _EVENTS) + " FROM events GROUP BY 1")
 def metric_table(spark, sf):
-    rows = table(spark, sf, "events").withColumn("model", F.col("user_id") % 7)
-    out = rows.groupBy("model").pivot("event_type", ["click", "view", "error"]).agg(F.avg("value"))
-    return out.select("model", *[F.round(c, 6).alias(c) for c in ("click", "view", "error")])
+    rows = table(spark, sf, "events").select((F.col("user_id") % 7).alias("model"), F.col("event_type").alias("metric"), "value")
+    return st.metric_table(rows, _EVENTS).select("model", *[F.round(c, 6).alias(c) for c in _EVENTS])
 
 
 # --- calibration -------------------------------------------------------------------------
@@ -623,6 +646,17 @@ def calibrators(spark, sf):
     return out.select("doc_id", F.round(cal.apply_temperature(F.col("p"), temperature), 6).alias("temperature"), F.round(cal.apply_platt(F.col("p"), *platt), 6).alias("platt"), F.round("calibrated", 6).alias("isotonic"))
 
 
+#: The largest, over beginnings up to a value, of the smallest mean of the values from there to beyond it.
+_ISOTONIC = f"""{_SCORES}, g AS (SELECT p, count(*) AS n, sum(y) AS y FROM s GROUP BY p), c AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS n, sum(y) OVER (ORDER BY p) AS y, n AS own_n, y AS own_y FROM g),
+    a AS (SELECT b.i AS j, e.i AS k, (e.y - b.y + b.own_y) / (e.n - b.n + b.own_n) AS mean FROM c b JOIN c e ON e.i >= b.i), m AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM a), f AS (SELECT i, max(least) AS fit FROM m GROUP BY i)"""
+
+
+@query("calibrator_isotonic", f"WITH {_ISOTONIC} SELECT doc_id, round(fit, 6) AS isotonic FROM s JOIN c USING (p) JOIN f USING (i)")
+def calibrator_isotonic(spark, sf):
+    rows = _scores(spark, sf)
+    return cal.fit_isotonic(rows).transform(rows).select("doc_id", F.round("calibrated", 6).alias("isotonic"))
+
+
 # --- joins, filters and sets -------------------------------------------------------------
 
 
@@ -644,7 +678,7 @@ def include_exclude(spark, sf):
 
 @query("non_empty", "SELECT count(*) AS n FROM documents WHERE text <> ''")
 def non_empty(spark, sf):
-    return table(spark, sf, "documents").filter("text <> ''").agg(F.count(F.lit(1)).alias("n"))
+    return joins.non_empty(table(spark, sf, "documents")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("id_sets", "WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels) SELECT 'intersection' AS kind, count(*) AS n FROM a JOIN b USING (doc_id) UNION ALL SELECT 'left_only', count(*) FROM a ANTI JOIN b USING (doc_id) UNION ALL SELECT 'right_only', count(*) FROM b ANTI JOIN a USING (doc_id) UNION ALL SELECT 'union', count(*) FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)")
@@ -753,6 +787,24 @@ def sparse_dot_top10(spark, sf):
     return _hits(retrieval.sparse_top_k(postings, asked, 10))
 
 
+@query(
+    "rerank_sparse",
+    f"WITH {_LEXICAL}, s AS (SELECT qid, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * {_BM25}) AS score FROM asked JOIN c USING (term) JOIN df USING (term) JOIN l USING (id), t GROUP BY qid, id), "
+    f"h AS ({_LEXICAL_HITS.replace('r AS (', 'WITH r AS (', 1)}), p AS (SELECT id, term, round(ln(1 + tf), 9) AS w, row_number() OVER (PARTITION BY id ORDER BY round(ln(1 + tf), 9) DESC, term) AS n FROM c), "
+    "m AS (SELECT qid, id, round(sum(w), 9) AS sim FROM h JOIN asked USING (qid) JOIN p USING (id, term) WHERE n <= 64 GROUP BY qid, id) "
+    "SELECT qid, id, round(coalesce(sim, 0), 6) AS similarity, (row_number() OVER (PARTITION BY qid ORDER BY coalesce(sim, 0) DESC, rank))::INT AS new_rank FROM h LEFT JOIN m USING (qid, id)",
+)
+def rerank_sparse(spark, sf):
+    """BM25 hits ranked again by the dot product of sparse term weights."""
+    hits = _lexical(spark, sf)
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text").join(hits.select("id").distinct(), "id", "left_semi")
+    weights = retrieval.term_counts(docs.select("id", _ascii_tokens(F.col("text")).alias("words")), F.col("words")).select("id", "term", F.round(F.log(1.0 + F.col("tf")), 9).alias("weight"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(_ascii_tokens(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))
+    scored = rerank.with_sparse_similarity(hits, asked, retrieval.top_terms(weights, 64))
+    out = rerank.rerank(scored, F.col("similarity"))
+    return out.select("qid", "id", F.round("similarity", 6).alias("similarity"), F.col("new_rank").cast("int").alias("new_rank"))
+
+
 @query("similar_hits_dropped")
 def similar_hits_dropped(spark, sf):
     """Greedy ROUGE-1 de-duplication of the lexical hits of each question."""
@@ -784,9 +836,13 @@ def text_feature_table(spark, sf):
     return out.select("term", "n", "df", F.round("idf", 9).alias("idf"))
 
 
-@query("text_token_difference", f"WITH t AS (SELECT {_TOKENS.format('text')} AS a, {_TOKENS.format('substring(text, 1, 200)')} AS b FROM documents) SELECT count(*) AS n, sum((a <> b)::INT)::BIGINT AS n_different, round(avg(len(a)), 6) AS mean_a, round(avg(len(b)), 6) AS mean_b FROM t")
+_SPACED_WORDS = _TOKENS.format("text").replace("[a-z0-9]+", r"[^ \t\n\r\f\v]+")
+
+
+@query("text_token_difference", f"WITH t AS (SELECT {_TOKENS.format('text')} AS a, {_SPACED_WORDS} AS b FROM documents) SELECT count(*) AS n, sum((a <> b)::INT)::BIGINT AS n_different, round(avg(len(a)), 6) AS mean_a, round(avg(len(b)), 6) AS mean_b FROM t")
 def text_token_difference(spark, sf):
-    docs = table(spark, sf, "documents").select(_ascii_tokens(F.col("text")).alias("a"), _ascii_tokens(F.expr("left(text, 200)")).alias("b"))
+    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = table(spark, sf, "documents").select(_ascii_tokens(F.col("text")).alias("a"), F.regexp_extract_all(lowered, F.lit(r"([^ \t\n\r\f\x0b]+)"), F.lit(1)).alias("b"))
     out = features.tokenization_difference(docs, F.col("a"), F.col("b"))
     return out.select("n", "n_different", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
 
@@ -811,14 +867,6 @@ def timing_comparison(spark, sf):
     return out.select("name", "system", "n", F.round("total", 4).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
-def _pairs(spark, sf, k) -> DataFrame:
-    rows, queries = _vectors(spark, sf)
-    a, b = _search(spark, sf, k=k), _search(spark, sf, k=0, size=32)
-    both = a.select("qid", "id", F.col("score").alias("full")).join(b.select("qid", "id", F.col("score").alias("short")), ["qid", "id"])
-    both = both.join(rows.select("id", "label"), "id").join(queries.select("qid", "qlabel"), "qid")
-    return both.withColumn("relevant", F.col("label") == F.col("qlabel"))
-
-
 _PAIRS = f"WITH {_TWO.replace('WHERE rank <= 10', 'WHERE rank <= 1000000000')}, x AS (SELECT h.qid, h.id, h.score AS f, p.score AS s, h.label = h.qlabel AS rel, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS n FROM h JOIN p USING (qid, id))"
 
 
@@ -828,10 +876,8 @@ _PAIRS = f"WITH {_TWO.replace('WHERE rank <= 10', 'WHERE rank <= 1000000000')},
     "SELECT round((SELECT avg(abs(f - s)) FROM x), 6) AS pairwise, round((SELECT avg(abs(f - s)) FROM x WHERE n <= 10), 6) AS neighbour, round((SELECT avg(-ln(p / a)) FROM n WHERE p > 0), 6) AS info_nce",
 )
 def prefix_losses(spark, sf):
-    pairs = _pairs(spark, sf, 0)
-    a, b, c = losses.pairwise(pairs), losses.neighbour(pairs, 10), losses.info_nce(pairs)
-    one = a.select(F.round("loss", 6).alias("pairwise")).crossJoin(b.select(F.round("loss", 6).alias("neighbour")))  # single rows
-    return one.crossJoin(c.select(F.round("loss", 6).alias("info_nce")))
+    out = losses.prefix_losses(*_vectors(spark, sf), 32, 10, ("qlabel", "label"))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @query("answer_recall")

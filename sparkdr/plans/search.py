@@ -99,24 +99,29 @@ class Engine:
 
     def _one(self, engine: str, questions: DataFrame, k: int) -> DataFrame:
         r, rows = self.config.retrieval, self.passages
-        if other := [f for f in r.filters if f.get("type", "must") != "must"]:
-            raise ConfigError(f"filters of type {other[0]['type']!r}; known: 'must'")
-        match = [(f["query"], f["document"]) for f in r.filters]
-        allowed = retrieval.where_equal(rows, questions, match) if match else None
+        if other := [f for f in r.filters if f.get("type", "must") not in ("must", "should")]:
+            raise ConfigError(f"filters of type {other[0]['type']!r}; known: 'must', 'should'")
+        match, either = ([(f["query"], f["document"]) for f in r.filters if f.get("type", "must") == kind] for kind in ("must", "should"))
+        allowed = retrieval.where_equal(rows, questions, match, either=either) if r.filters else None
         if engine == "bm25":
             return retrieval.bm25_top_k(rows, questions, lambda c: analyze(c, "text_stop"), k, r.k1, r.b, r.floor_idf, allowed=allowed)
         if engine == "dense":
-            own = rows if "vector" in rows.columns else self._encode(rows.select("id", "text", *[f["document"] for f in r.filters]))
-            asked = questions if "vector" in questions.columns else self._encode(questions.select("qid", "text", *[f["query"] for f in r.filters]), question=True)
-            return retrieval.dense_top_k(own, asked, k, r.metric, match=match)
+            fields = lambda side: list(dict.fromkeys(f[side] for f in r.filters))
+            own = rows if "vector" in rows.columns else self._encode(rows.select("id", "text", *fields("document")))
+            asked = questions if "vector" in questions.columns else self._encode(questions.select("qid", "text", *fields("query")), question=True)
+            return retrieval.dense_top_k(own, asked, k, r.metric, match=match, either=either)
         if engine == "sparse":
-            words = lambda c: analyze(c, "text_stop")
-            counts = retrieval.term_counts(rows.select("id", words(F.col("text")).alias("w")), F.col("w"))
-            postings = retrieval.top_terms(counts.select("id", "term", F.log1p("tf").alias("weight")), r.terms)
-            asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))
-            return retrieval.sparse_top_k(postings, asked, k, allowed=allowed)
+            return retrieval.sparse_top_k(self._sparse(rows), self._sparse_questions(questions), k, allowed=allowed)
         raise ConfigError(f"engine {engine!r}")
 
+    def _sparse(self, rows: DataFrame) -> DataFrame:
+        """``(id, term, weight)``: the heaviest terms of each passage."""
+        counts = retrieval.term_counts(rows.select("id", analyze(F.col("text"), "text_stop").alias("w")), F.col("w"))
+        return retrieval.top_terms(counts.select("id", "term", F.log1p("tf").alias("weight")), self.config.retrieval.terms)
+
+    def _sparse_questions(self, questions: DataFrame) -> DataFrame:
+        return questions.select("qid", F.explode(F.array_distinct(analyze(F.col("text"), "text_stop"))).alias("term")).withColumn("weight", F.lit(1.0))
+
     def search(self, questions: DataFrame) -> DataFrame:
         """``(qid, id, doc_id, score, rank, title, text)`` of every question."""
         r = self.config.retrieval
@@ -141,6 +146,9 @@ class Engine:
             if self.pair_scorer is None:
                 raise ConfigError("a pair scorer is needed")
             scored = rerank.with_pair_scores(hits.join(questions.select("qid", F.col("text").alias("query_text")), "qid"), self.pair_scorer).withColumnRenamed("similarity", "_sim")
+        elif c.kind == "sparse":
+            needed = self.passages.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi")
+            scored = rerank.with_sparse_similarity(hits, self._sparse_questions(questions), self._sparse(needed)).withColumnRenamed("similarity", "_sim")
         else:
             from ..functions.vectors import cosine
 

@@ -197,6 +197,52 @@ def read_questions(df: DataFrame, template: dict[str, str] | None = None, limit:
     return out if limit is None else out.limit(limit)
 
 
+#: Field paths by role of known record shapes.
+TEMPLATES = {
+    "default": {"data": {"id": "id", "text": "text|documents|document", "title": "title"}, "query": {"text": "text|query|question", "id": "id|qid|_id", "relevant": "relevant", "answers": "answers"}},
+    "sap": {"data": {"id": "document_id", "text": "document", "passage": "text", "title": "title"}, "query": {"text": "text|query|question", "id": "id|qid|_id"}},
+    "beir": {"data": {"id": "_id", "text": "text", "title": "title"}, "query": {"text": "text", "id": "_id"}},
+}
+
+
+def template(spec: str, part: str = "data") -> dict[str, str]:
+    """Field paths by role: a name of ``TEMPLATES``, ``role=path,role=path``, or a YAML or JSON file with ``data_format`` and ``query_format``.
+
+    In a file, roles may end in ``_header``, as in ``id_header: _id``.
+    """
+    if spec in TEMPLATES:
+        return dict(TEMPLATES[spec][part])
+    if "=" in spec:
+        pairs = [piece.partition("=") for piece in spec.split(",")]
+        return {role.strip(): path.strip() for role, _, path in pairs}
+    import yaml
+
+    values = yaml.safe_load(Path(spec).read_text(encoding="utf-8")) or {}
+    if missing := {"data_format", "query_format"} - set(values):
+        raise ValueError(f"{spec} has no {', '.join(sorted(missing))}")
+    return {role.removesuffix("_header"): path for role, path in values[f"{part}_format"].items() if path is not None}
+
+
+def read_question_set(spark: SparkSession, path: str, query_template: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
+    """Questions with their judged ids, of a JSON or YAML file that names ``question_file`` and ``goldstandard_file``.
+
+    A file that is not there is looked for in the folder of ``path``.
+    """
+    import yaml
+
+    from ..operators.joins import attach_gold
+
+    values = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if missing := {"question_file", "goldstandard_file"} - set(values):
+        raise ValueError(f"{path} has no {', '.join(sorted(missing))}")
+    beside = lambda name: name if Path(name).exists() else str(Path(path).parent / name)
+    questions = read_questions(read_records(spark, beside(values["question_file"])), query_template, limit)
+    gold = beside(values["goldstandard_file"])
+    if re.search(r"\.(jsonl?|parquet)(\.\w+)?$", gold.lower()):
+        return attach_gold(questions, read_relevance_records(read_records(spark, gold)))
+    return attach_gold(questions, read_judgements(spark, gold))
+
+
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     """``(qid, doc_id, rel)`` with rel > 0 of a TREC file (no header) or one with a header line."""
     first = spark.read.text(path).first()
@@ -215,7 +261,7 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
 def read_relevance_records(df: DataFrame) -> DataFrame:
     """``(qid, doc_id, relevance)`` of records that name their fields differently; of repeats the later one, as the files lie."""
     pick = lambda names: F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names if n in df.columns])
-    out = df.select(pick(["query_id", "qid"]).alias("qid"), pick(["corpus_id", "docid", "pid"]).alias("doc_id"), pick(["relevance", "score"]).cast("double").alias("relevance"))
+    out = df.select(pick(["query_id", "query-id", "qid"]).alias("qid"), pick(["corpus_id", "corpus-id", "docid", "pid"]).alias("doc_id"), pick(["relevance", "score"]).cast("double").alias("relevance"))
     out = out.withColumn("_at", F.monotonically_increasing_id())
     return out.groupBy("qid", "doc_id").agg(F.max_by("relevance", "_at").alias("relevance"))
 

@@ -3,7 +3,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkdr.operators import answers, calibration, features, joins, losses, retrieval, statistics as st
+from sparkdr.functions import text as tx
+from sparkdr.operators import answers, calibration, features, joins, losses, metrics, retrieval, statistics as st
 from sparkdr.plans import cache
 from sparkdr.sources import readers, writers
 
@@ -101,3 +102,50 @@ def test_spread_small_inputs_only(spark, tmp_path, monkeypatch):
     assert readers.spread(df).rdd.getNumPartitions() == cores and readers.spread(df).count() == 100
     monkeypatch.setattr(readers, "SPREAD_BYTES", 1)
     assert readers.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def test_sums_over_pairs_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    v, label = rng.normal(size=(60, 8)), rng.integers(0, 3, 60)
+    rows = spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(v, label))], "id long, vector array<double>, label int").repartition(4)
+    asked = rows.filter("id % 5 = 0").withColumnsRenamed({"id": "qid", "label": "qlabel"})
+    q = np.arange(0, 60, 5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    full, short, other = v[q] @ v.T, unit(v[q, :4]) @ unit(v[:, :4]).T, q[:, None] != np.arange(60)[None]
+    got = losses.prefix_losses(rows, asked, 4, 3, ("qlabel", "label"), temperature=0.001).first()
+    z = np.where(other, short / 0.001, -np.inf)
+    e, alike = np.exp(z - z.max(1, keepdims=True)), label[q][:, None] == label[None]
+    share = (e * alike).sum(1) / e.sum(1)
+    near = [np.argsort(-np.where(o, f, -np.inf))[:3] for f, o in zip(full, other)]
+    assert math.isclose(got.pairwise, np.abs(full - short)[other].mean(), rel_tol=1e-6)
+    assert math.isclose(got.neighbour, np.mean([np.abs(full - short)[i, n].mean() for i, n in enumerate(near)]), rel_tol=1e-6)
+    assert math.isclose(got.info_nce, np.mean(-np.log(share[share > 0])), rel_tol=1e-5)
+    d = np.linalg.norm(unit(v[q])[:, None] - unit(v)[None], axis=2)
+    assert math.isclose(metrics.class_separation(rows, asked, ("qlabel", "label")).first().separation, d[~alike].mean() / d[alike & other].mean(), rel_tol=1e-5)
+    best = {(r.qid, r["rank"]): r.id for r in retrieval.dense_top_k(rows, asked, 2, exclude_self=True, group="label").collect()}
+    for i, a in enumerate(q):
+        ids = sorted((-f, j) for j, f in enumerate(full[i]) if j != a)
+        firsts = list({label[j]: j for _, j in reversed(ids)}.values())
+        assert [best[a, 1], best[a, 2]] == sorted(firsts, key=lambda j: -full[i, j])[:2]
+    assert losses.prefix_sums(rows, asked.filter("qid < 0"), 4).count() == 0
+
+
+def test_group_search_with_ties_and_null_groups(spark):
+    rows = spark.createDataFrame([(i, [1.0], g) for i, g in enumerate(["a", None, "b", "a", None])], "id long, vector array<double>, g string")
+    asked = spark.createDataFrame([(9, [1.0])], "qid long, vector array<double>")
+    assert [r.id for r in retrieval.dense_top_k(rows, asked, 3, group="g").orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_nested_trimming_and_composition(spark):
+    df = spark.createDataFrame([(("abcd", ["xyz", None], {"key": "uvw"}, 5),), (None,)], "r struct<a string, b array<string>, c map<string,string>, d int>")
+    got = [r.t for r in df.select(tx.trim_strings(F.col("r"), df.schema["r"].dataType, 2).alias("t")).collect()]
+    assert got[0].asDict() == {"a": "ab", "b": ["xy", None], "c": {"key": "uv"}, "d": 5} and got[1] is None
+    texts = spark.createDataFrame([("ﬁne ①",), ("plain",), (None,)], "t string")
+    assert [r.n for r in texts.select(tx.nfkc(F.col("t")).alias("n")).collect()] == ["fine 1", "plain", None]
+
+
+def test_edges_and_empty_texts(spark):
+    df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 1.0, 4.9, 5.0, 9.0, 10.0, 10.1, None, float("nan"))], "x double")
+    assert {r.bin: r.n for r in st.edged_histogram(df, "x", [0, 1, 5, 10]).collect()} == {1: 1, 2: 2, 3: 3}
+    docs = spark.createDataFrame([("", "en"), (None, "en"), ("t", "en"), ("t", "de")], "text string, lang string")
+    assert joins.non_empty(docs).count() == 2 and joins.non_empty(docs, languages=("en",)).count() == 1

@@ -163,3 +163,35 @@ def test_streaming(spark, tmp_path):
 def test_entry_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_templates_and_question_sets(spark, tmp_path):
+    assert readers.template("beir")["id"] == "_id" and readers.template("sap")["passage"] == "text"
+    assert readers.template("id=a.b, text=c|d") == {"id": "a.b", "text": "c|d"}
+    (tmp_path / "t.yaml").write_text("data_format:\n  id_header: key\nquery_format:\n  text_header: ask\n  id_header: n\n")
+    assert readers.template(str(tmp_path / "t.yaml")) == {"id": "key"}
+    (tmp_path / "q.jsonl").write_text('{"n": "q1", "ask": "what"}\n{"n": "q2", "ask": "why"}\n')
+    (tmp_path / "gold.jsonl").write_text('{"query-id": "q1", "corpus-id": "d2", "score": 1}\n{"query-id": "q1", "corpus-id": "d1", "score": 1}\n')
+    (tmp_path / "gold.tsv").write_text("query-id\tcorpus-id\tscore\nq1\td1\t1\nq1\td2\t1\n")
+    for gold in ("gold.jsonl", "gold.tsv"):
+        (tmp_path / "set.json").write_text(f'{{"question_file": "q.jsonl", "goldstandard_file": "{gold}"}}')
+        got = {r.qid: r.relevant for r in readers.read_question_set(spark, str(tmp_path / "set.json"), readers.template(str(tmp_path / "t.yaml"), "query")).collect()}
+        assert got == {"q1": ["d1", "d2"], "q2": []}
+    for bad, read in (("t.yaml", lambda p: readers.read_question_set(spark, p)), ("set.json", readers.template)):
+        with pytest.raises(ValueError):
+            read(str(tmp_path / bad))
+
+
+def test_filters_of_either_kind(spark):
+    rows = spark.createDataFrame([("1", "d", "", "same words here", "en", "x"), ("2", "d", "", "same words here", "de", "y"), ("3", "d", "", "same words here", "de", "z"), ("4", "d", "", "same words here", None, None)], "id string, doc_id string, title string, text string, lang string, kind string")
+    asked = spark.createDataFrame([("q", "same words", "de", "x")], "qid string, text string, qlang string, qkind string")
+    for engine in ("bm25", "dense", "sparse"):
+        for kinds, want in ((("must", "should"), []), (("should", "should"), ["1", "2", "3"]), (("must", None), ["2", "3"]), ((None, "should"), ["1"])):
+            filters = [{"query": q, "document": d, "type": k} for q, d, k in zip(("qlang", "qkind"), ("lang", "kind"), kinds) if k]
+            e = Engine.from_preset(spark, engine, retrieval={"filters": filters})
+            e.ingest(rows)
+            assert sorted(r.id for r in e.search(asked).collect()) == want, (engine, kinds)
+    e = Engine.from_preset(spark, "bm25", rerank={"kind": "sparse"})
+    e.ingest(rows.union(spark.createDataFrame([("5", "d", "", "words", "en", "x")], rows.schema)))
+    found = e.search(asked).orderBy("rank").collect()
+    assert [r.id for r in found] == ["1", "2", "3", "4", "5"] and found[0].score > found[-1].score > 0
