@@ -22,27 +22,26 @@ def dense_rank_again(hits: DataFrame, query: str = "qid", rank: str = "rank", st
     return hits.withColumn(rank, (F.row_number().over(Window.partitionBy(query).orderBy(rank)) - 1 + start).cast("int"))
 
 
-def drop_similar(hits: DataFrame, threshold: float = 0.9, query: str = "qid", rank: str = "rank", text: str = "text", most: int = 1_000) -> DataFrame:
+def drop_similar(hits: DataFrame, threshold: float = 0.9, query: str = "qid", rank: str = "rank", text: str = "text") -> DataFrame:
     """Greedy ROUGE-1: in rank order a hit goes when its F with a kept hit reaches the threshold.
 
-    Sequential within a query by nature; a query's hits are a ranked list, which the
-    search bounds (``most`` is checked, not applied as a cap).
+    Sequential within a query by nature: each query's hits meet one worker in rank order,
+    as a stream that holds the words of the kept ones only.
     """
-    columns = hits.columns
-
-    def run(group):
-        group = group.sort_values(rank, kind="stable")
-        if len(group) > most:
-            raise ValueError(f"{len(group)} hits of one query: search with a smaller k, or allow more")
-        kept, words = [], []
-        for at, value in enumerate(group[text].tolist()):
-            own = rouge_words(value)
-            if all(rouge_n(w, own)[2] < threshold for w in words):
-                kept.append(at)
-                words.append(own)
-        return group.iloc[kept][columns]
-
-    return hits.groupBy(query).applyInPandas(run, hits.schema)
+    def run(frames):
+        asked, words = object(), []
+        for frame in frames:
+            kept = []
+            for at, (key, value) in enumerate(zip(frame[query].tolist(), frame[text].tolist())):
+                if key != asked:
+                    asked, words = key, []
+                own = rouge_words(value)
+                if all(rouge_n(w, own)[2] < threshold for w in words):
+                    kept.append(at)
+                    words.append(own)
+            yield frame.iloc[kept]
+
+    return hits.repartition(query).sortWithinPartitions(query, rank).mapInPandas(run, hits.schema)
 
 
 def best_per_document(hits: DataFrame, query: str = "qid", document: str = "doc_id") -> DataFrame:

@@ -640,9 +640,11 @@ def brier_decomposition(spark, sf):
 
 @query("calibrators")
 def calibrators(spark, sf):
-    rows = _scores(spark, sf).cache()
-    temperature, platt = cal.fit_temperature(rows), cal.fit_platt(rows)
-    out = cal.fit_isotonic(rows).transform(rows)
+    rows = _scores(spark, sf)
+    held = rows.cache()  # read by every round of the fits, then released
+    temperature, platt, isotonic = cal.fit_temperature(held), cal.fit_platt(held), cal.fit_isotonic(held)
+    held.unpersist()
+    out = isotonic.transform(rows)
     return out.select("doc_id", F.round(cal.apply_temperature(F.col("p"), temperature), 6).alias("temperature"), F.round(cal.apply_platt(F.col("p"), *platt), 6).alias("platt"), F.round("calibrated", 6).alias("isotonic"))
 
 

@@ -30,13 +30,14 @@ def file_kind(path: str) -> str:
 
 
 def expand_paths(pattern: str) -> list[str]:
-    """Sorted matches of each alternative of one ``{a,b}``; a pattern without matches stays, to fail when read."""
+    """Sorted matches of each alternative of every ``{a,b}``; a pattern without matches stays, to fail when read.
+
+    Patterns with a scheme, as ``hdfs://``, are left to Spark, which matches them where they lie.
+    """
     found = re.search(r"\{([^{}]*)\}", pattern)
-    parts = [pattern[: found.start()] + p + pattern[found.end() :] for p in found[1].split(",")] if found else [pattern]
-    out: list[str] = []
-    for part in parts:
-        out += sorted(_glob.glob(part)) or [part]
-    return out
+    if found:
+        return [path for part in found[1].split(",") for path in expand_paths(pattern[: found.start()] + part + pattern[found.end() :])]
+    return [pattern] if "://" in pattern else sorted(_glob.glob(pattern)) or [pattern]
 
 
 def file_list(path: str) -> list[str]:
@@ -72,6 +73,15 @@ def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
 
 
+def _json_lines(lines: DataFrame, schema=None) -> DataFrame:
+    """Records of a frame of JSON lines, parsed in the JVM; their fields are inferred where no schema is given."""
+    if schema is None:
+        spark = lines.sparkSession
+        texts = getattr(lines.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(spark._jsparkSession.read().json(texts), spark)
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def read_records(spark: SparkSession, path: str, limit: int | None = None, schema=None, list_columns: tuple[str, ...] = ()) -> DataFrame:
     """Records of one file or pattern, by kind; ``product:path`` adds a ``product`` column."""
     product, _, rest = path.rpartition(":")
@@ -80,7 +90,7 @@ def read_records(spark: SparkSession, path: str, limit: int | None = None, schem
     kind = file_kind(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "jsonl":
-        df = spark.read.json(_plain_lines(spark, path).rdd.map(lambda r: r.value), schema=schema) if path.endswith(".xz") else reader.json(path)
+        df = _json_lines(_plain_lines(spark, path), schema) if path.endswith(".xz") else reader.json(path)
     elif kind == "json":
         df = reader.option("multiLine", True).json(path)
     elif kind == "parquet":

@@ -184,3 +184,9 @@ def test_metric_and_timing_files(spark, tmp_path):
     assert sorted((r.system, r.ndcg) for r in spark.read.csv(f"{path}/m", header=True, inferSchema=True).collect()) == [("one", 0.5), ("two", 0.6)]
     writers.write_timings(spark, {"ingest": 3.0, "search": 1.0}, f"{path}/t", "one")
     assert sorted((r.stage, r.share) for r in spark.read.csv(f"{path}/t", header=True, inferSchema=True).collect()) == [("ingest", 0.75), ("search", 0.25)]
+
+
+def test_similar_hits_of_long_lists(spark):
+    rows = [(q, f"w{i // 2} v{i // 2} {'same' if q else ''}", i) for q in (0, 1) for i in range(1_200)]
+    got = dedup.drop_similar(spark.createDataFrame(rows, "qid int, text string, rank int").repartition(3), 0.9)
+    assert sorted(map(tuple, got.select("qid", "rank").collect())) == [(q, i) for q in (0, 1) for i in range(0, 1_200, 2)]

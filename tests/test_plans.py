@@ -195,3 +195,11 @@ def test_filters_of_either_kind(spark):
     e.ingest(rows.union(spark.createDataFrame([("5", "d", "", "words", "en", "x")], rows.schema)))
     found = e.search(asked).orderBy("rank").collect()
     assert [r.id for r in found] == ["1", "2", "3", "4", "5"] and found[0].score > found[-1].score > 0
+
+
+def test_paths_with_several_alternatives(tmp_path):
+    for name in ("a1.csv", "a2.csv", "b1.csv"):
+        (tmp_path / name).write_text("x\n")
+    got = readers.expand_paths(str(tmp_path / "{a,b}{1,2}.csv"))
+    assert [p.rpartition("/")[2] for p in got] == ["a1.csv", "a2.csv", "b1.csv", "b2.csv"]
+    assert readers.expand_paths("hdfs://x/{a,b}/*.csv") == ["hdfs://x/a/*.csv", "hdfs://x/b/*.csv"]
