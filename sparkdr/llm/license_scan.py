@@ -21,8 +21,8 @@ bigrams are broadcast); nothing of a text is gathered beyond its own units.
 
 Defined results: null and empty texts and units of fewer than two words match nothing;
 of templates that match a unit the highest coefficient wins, then the first name; rows
-that repeat an id share their results; an empty table gives an empty table; other columns
-are ignored, whatever their names.
+that repeat an id share their results; rows with a null id match nothing; an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,8 +66,8 @@ def anchors(templates, threshold: float) -> list[str]:
         most_left = least_shared(len(left), threshold) - 1
         left = {b for b in left if not set(b.split()) & set(chosen)}
         while len(left) > most_left:
-            words = {w for b in left for w in b.split()}
-            best = max(words, key=lambda w: (len(w) > 4, sum(w in b.split() for b in left), w))
+            words = Counter(w for b in left for w in set(b.split()))
+            best = max(words, key=lambda w: (len(w) > 4, words[w], w))
             chosen.append(best)
             left = {b for b in left if best not in b.split()}
     return sorted(set(chosen))
@@ -139,10 +140,13 @@ def scan_runs(docs: DataFrame, units: DataFrame, threshold: float = 0.8, templat
     table = docs.sparkSession.createDataFrame(table, "license string, size int, longest int, least int, bigram string")
     body = normalized(F.col(text_column))
     texts = docs.select(F.col(id_column).alias("id"), body.alias("body"), F.xxhash64(body).alias("text_key"))
-    texts = texts.withColumn("lines", F.transform(F.split("body", "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))).drop("body")
-    texts = texts.withColumn("pairs", _bigrams(F.flatten("lines")))
 
-    hits = texts.select("id", "text_key", F.posexplode("pairs").alias("at", "bigram")).join(F.broadcast(table), "bigram")
+    def laid_out(rows: DataFrame) -> DataFrame:
+        """``body`` as the words of its lines and the bigrams of all."""
+        rows = rows.withColumn("lines", F.transform(F.split("body", "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))).drop("body")
+        return rows.withColumn("pairs", _bigrams(F.flatten("lines")))
+
+    hits = laid_out(texts).select("id", "text_key", F.posexplode("pairs").alias("at", "bigram")).join(F.broadcast(table), "bigram")
     # rows may repeat an id and a text: sets, not lists
     hits = hits.groupBy("id", "text_key", "license", "size", "longest", "least").agg(F.array_sort(F.collect_set("at")).alias("at"), F.size(F.collect_set("bigram")).alias("shared"))
     hits = hits.filter(F.col("shared") >= F.col("least")).drop("shared")
@@ -154,15 +158,17 @@ def scan_runs(docs: DataFrame, units: DataFrame, threshold: float = 0.8, templat
     hits = hits.withColumn("runs", F.flatten(F.transform("starts", lambda s: F.transform(ends(s), lambda e: F.struct(s["p"].alias("a"), e["p"].alias("z"))))))
     hits = hits.filter(F.size("runs") > 0).drop("starts", "ends")
 
-    found = hits.join(texts.dropDuplicates(["id", "text_key"]), ["id", "text_key"])
+    # what is known of a text meets it before its words are laid out: only bodies with a run are shuffled, once
+    taken = units.groupBy(F.col(id_column).alias("id")).agg(F.collect_set(F.struct("position", "key")).alias("taken"))
+    hits = storage.materialize(hits.join(taken, "id", "left"), "licence-hits")
+    bodies = texts.join(storage.sized(hits.select("id", "text_key").distinct()), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    found = laid_out(hits.join(bodies, ["id", "text_key"]))
     own = lambda r: F.size(F.array_distinct(F.slice("pairs", r["a"] + 1, r["z"] - r["a"] + 1)))
     shared = lambda r: F.size(F.array_distinct(F.transform(F.filter(at, lambda p: p.between(r["a"], r["z"])), lambda p: F.get("pairs", p))))
     dice = lambda r: F.round(F.lit(2.0) * shared(r) / (own(r) + F.col("size")), 9)
     scored = F.transform("runs", lambda r: F.struct((-dice(r)).alias("minus_dice"), (r["a"] - r["z"]).alias("minus_words"), F.col("license").alias("license"), r["a"].alias("first"), (r["z"] + 1).alias("last")))
     found = found.withColumn("runs", F.filter(scored, lambda r: r["minus_dice"] <= -F.lit(threshold))).filter(F.size("runs") > 0)
 
-    taken = units.groupBy(F.col(id_column).alias("id")).agg(F.collect_set(F.struct("position", "key")).alias("taken"))
-    found = found.join(taken, "id", "left")
     found = found.withColumn("line_of", F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k, F.size(words)))))
     key = lambda pairs: F.xxhash64(F.array_distinct(pairs))
     whole = lambda u: (u["position"] == -1) & (u["key"] == key(F.col("pairs")))
