@@ -29,6 +29,8 @@ empty table gives an empty table; other columns are ignored, whatever their name
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -298,6 +300,35 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def near_duplicates_sql(words: int = 5, percent: int = 80) -> str:
+    """DuckDB SQL of :func:`near_duplicates` over ``documents`` with distinct, not null ids: all texts that share a shingle are compared."""
+    return f"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {words - 1}, least(len(w), 1)) + 1),
+                                                        lambda i: array_to_string(w[i:i + {words - 1}], ' '))) AS s
+            FROM texts
+        ), shingles AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+        ), links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+        ), reached(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+        )
+        SELECT s.doc_id, len(s.s) AS n_shingles, component_id, s.doc_id = component_id AS kept
+        FROM sets s JOIN least USING (doc_id)
+    """
+
+
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest (or null), with all their columns, whatever their names."""
     marked = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)

@@ -74,6 +74,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.near_duplicates_sql(words=4, percent=80),
     "op4_license_scan": license_scan.summary_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
