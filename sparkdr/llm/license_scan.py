@@ -158,15 +158,17 @@ def scan_runs(docs: DataFrame, units: DataFrame, threshold: float = 0.8, templat
     hits = hits.withColumn("runs", F.flatten(F.transform("starts", lambda s: F.transform(ends(s), lambda e: F.struct(s["p"].alias("a"), e["p"].alias("z"))))))
     hits = hits.filter(F.size("runs") > 0).drop("starts", "ends")
 
-    # what is known of a text meets it before its words are laid out: only bodies with a run are shuffled, once
+    # what is known of a text meets it before its words are laid out, once for all licences: only bodies with a run are shuffled
     taken = units.groupBy(F.col(id_column).alias("id")).agg(F.collect_set(F.struct("position", "key")).alias("taken"))
+    hits = hits.groupBy("id", "text_key").agg(F.collect_list(F.struct("license", "size", "at", "runs")).alias("hits"))
     hits = storage.materialize(hits.join(taken, "id", "left"), "licence-hits")
-    bodies = texts.join(storage.sized(hits.select("id", "text_key").distinct()), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    bodies = texts.join(storage.sized(hits.select("id", "text_key")), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
     found = laid_out(hits.join(bodies, ["id", "text_key"]))
     own = lambda r: F.size(F.array_distinct(F.slice("pairs", r["a"] + 1, r["z"] - r["a"] + 1)))
-    shared = lambda r: F.size(F.array_distinct(F.transform(F.filter(at, lambda p: p.between(r["a"], r["z"])), lambda p: F.get("pairs", p))))
-    dice = lambda r: F.round(F.lit(2.0) * shared(r) / (own(r) + F.col("size")), 9)
-    scored = F.transform("runs", lambda r: F.struct((-dice(r)).alias("minus_dice"), (r["a"] - r["z"]).alias("minus_words"), F.col("license").alias("license"), r["a"].alias("first"), (r["z"] + 1).alias("last")))
+    shared = lambda h, r: F.size(F.array_distinct(F.transform(F.filter(h["at"], lambda p: p.between(r["a"], r["z"])), lambda p: F.get("pairs", p))))
+    dice = lambda h, r: F.round(F.lit(2.0) * shared(h, r) / (own(r) + h["size"]), 9)
+    scored = lambda h: F.transform(h["runs"], lambda r: F.struct((-dice(h, r)).alias("minus_dice"), (r["a"] - r["z"]).alias("minus_words"), h["license"].alias("license"), r["a"].alias("first"), (r["z"] + 1).alias("last")))
+    scored = F.flatten(F.transform("hits", scored))
     found = found.withColumn("runs", F.filter(scored, lambda r: r["minus_dice"] <= -F.lit(threshold))).filter(F.size("runs") > 0)
 
     found = found.withColumn("line_of", F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k, F.size(words)))))
@@ -174,10 +176,9 @@ def scan_runs(docs: DataFrame, units: DataFrame, threshold: float = 0.8, templat
     whole = lambda u: (u["position"] == -1) & (u["key"] == key(F.col("pairs")))
     line = lambda u, r: u["position"].between(F.get("line_of", r["first"]), F.get("line_of", r["last"])) & (u["key"] == key(_bigrams(F.get("lines", u["position"]))))
     free = lambda r: F.coalesce(~F.exists("taken", lambda u: whole(u) | line(u, r)), F.lit(True))
-    found = found.select("id", "text_key", F.explode(F.filter("runs", free)).alias("run"))
 
     # runs that overlap: the best first, the longest of equal ones
-    found = found.groupBy("id", "text_key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    found = found.select("id", F.array_sort(F.filter("runs", free)).alias("runs"))
     none = F.slice("runs", 1, 0)
     apart = lambda kept, r: F.forall(kept, lambda k: (k["last"] < r["first"]) | (r["last"] < k["first"]))
     kept = F.aggregate("runs", none, lambda kept, r: F.when(apart(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
